@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import rstrip, strip
+from .text import let, rstrip, strip
 
 
 def _last(text: Column, pattern: str) -> Column:
@@ -25,21 +25,23 @@ def extract_answer(text: Column) -> Column:
 def normalise_answer(answer: Column) -> Column:
     """Dollar signs and commas dropped; then the first signed integer, if there is one."""
     plain = strip(F.translate(answer, "$,", ""))
-    number = F.regexp_extract(plain, fixed.SIGNED_INTEGER, 0)
-    return F.when(number != "", number).otherwise(plain)
+    return F.coalesce(F.regexp_substr(plain, F.lit(fixed.SIGNED_INTEGER)), plain)
 
 
-def _integer(normal: Column) -> Column:
-    """One spelling per integer, whatever its length; NULL for other texts."""
-    digits = F.regexp_replace(normal, r"^[-+]?0*(?=\d)", "")
-    signed = F.when(F.startswith(normal, F.lit("-")) & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
-    return F.when(normal.rlike(r"^[-+]?\d+$"), signed)
+def canonical_answer(answer: Column) -> Column:
+    """One spelling for all answers that agree once normalised.
+
+    An answer with an integer becomes that integer, of any length, without ``+`` and leading
+    zeros; every other answer stays as it is.
+    """
+    plain = strip(F.translate(answer, "$,", ""))
+    integer = F.regexp_replace(plain, r"(?s)^.*?(?:(-)|\+)?0*(\d+).*$", "$1$2")
+    return F.regexp_replace(integer, "^-0$", "0")
 
 
 def same_answer(answer: Column, target: Column) -> Column:
     """Whether two answers agree, as normalised texts or as integers."""
-    a, b = normalise_answer(answer), normalise_answer(target)
-    return F.coalesce((a == b) | (_integer(a) == _integer(b)), F.lit(False))
+    return F.coalesce(canonical_answer(answer) == canonical_answer(target), F.lit(False))
 
 
 def extract_letter(text: Column) -> Column:
@@ -49,10 +51,12 @@ def extract_letter(text: Column) -> Column:
 
 def extract_code(text: Column) -> Column:
     """The body of the last code fence as it would be run; NULL when there is none."""
-    code = _last(text, fixed.CODE_FENCE)
-    body = F.replace(F.substring_index(code, "</code>", 1), F.lit("```python"), F.lit(""))
-    body = F.replace(F.substring_index(body, "```", 1), F.lit("<code>"), F.lit(""))
-    return F.when(code != "", body)
+    def runnable(code: Column) -> Column:
+        body = F.replace(F.substring_index(code, "</code>", 1), F.lit("```python"), F.lit(""))
+        body = F.replace(F.substring_index(body, "```", 1), F.lit("<code>"), F.lit(""))
+        return F.when(code != "", body)
+
+    return let(_last(text, fixed.CODE_FENCE), runnable)
 
 
 def expected_output(text: Column) -> Column:
@@ -77,4 +81,4 @@ def reward(response: Column, solution: Column) -> Column:
     The comparison rules are those of :func:`same_answer`; a missing box or mark gives 0.0.
     """
     given, truth = boxed_answer(response), final_answer(solution)
-    return F.when(given.isNotNull() & truth.isNotNull() & same_answer(given, truth), 1.0).otherwise(0.0)
+    return F.when(same_answer(given, truth), 1.0).otherwise(0.0)

@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
+from .text import let
 
 
 def subset_name(
@@ -39,23 +40,28 @@ def run_config(name: Column) -> Column:
 
     All fields are NULL when the name has another form.
     """
-    matched = name.rlike(fixed.RUN_CONFIG)
-
-    def part(group: int) -> Column:
-        text = F.regexp_extract(name, fixed.RUN_CONFIG, group)
-        return F.when(matched & (text != ""), text)
-
-    curriculum = F.when(matched, F.coalesce(part(7), F.lit("none")))
-    return F.struct(
-        part(1).alias("dataset"),
-        part(2).try_cast("double").alias("train_split"),
-        part(3).try_cast("long").alias("batch_size"),
-        part(4).try_cast("double").alias("learning_rate"),
-        part(5).try_cast("long").alias("epochs"),
-        part(6).try_cast("long").alias("rank"),
-        curriculum.alias("curriculum"),
-        F.regexp_replace(part(8), "^([^_]*)_", "$1/").alias("model"),
-    )
+    # One match gives all groups: they replace the name, with a mark between them.
+    mark = "\u0001"
+    marked = F.regexp_replace(name, fixed.RUN_CONFIG, mark.join(f"${i}" for i in range(1, 9)))
+
+    def fields(parts: Column) -> Column:
+        matched = F.size(parts) == 8
+
+        def part(group: int) -> Column:
+            return F.when(matched, F.nullif(F.get(parts, F.lit(group - 1)), F.lit("")))
+
+        return F.struct(
+            part(1).alias("dataset"),
+            part(2).try_cast("double").alias("train_split"),
+            part(3).try_cast("long").alias("batch_size"),
+            part(4).try_cast("double").alias("learning_rate"),
+            part(5).try_cast("long").alias("epochs"),
+            part(6).try_cast("long").alias("rank"),
+            F.when(matched, F.coalesce(part(7), F.lit("none"))).alias("curriculum"),
+            F.regexp_replace(part(8), "^([^_]*)_", "$1/").alias("model"),
+        )
+
+    return let(F.split(marked, mark), fields)
 
 
 def max_tokens_of(dataset: Column) -> Column:
@@ -76,17 +82,15 @@ def run_keys(path: Column) -> Column:
     folders. Files right under the eval folder get step -1. A step folder without a number gives a
     NULL step, and such rows are to be left out.
     """
-    pattern = r"([^/]+)/([^/]+)/([^/]+)/(?:(step[_=][^/]*)/)?[^/]+\.jsonl?$"
-    folder = F.regexp_extract(path, pattern, 4)
-    step = F.when(folder == "", F.lit(-1).cast("long")).otherwise(
-        F.regexp_replace(folder, "step[_=]", "").try_cast("long")
-    )
-    return F.struct(
-        _folder(F.regexp_extract(path, pattern, 1)).alias("config"),
-        _folder(F.regexp_extract(path, pattern, 2)).alias("run"),
-        _folder(F.regexp_extract(path, pattern, 3)).alias("eval"),
-        step.alias("step"),
-    )
+    parts = F.split(path, "/")
+    folder = F.try_element_at(parts, F.lit(-2))
+    stepped = F.coalesce(folder.rlike("^step[_=]"), F.lit(False))
+    step = F.when(stepped, F.substr(folder, F.lit(len("step_") + 1)).try_cast("long")).otherwise(F.lit(-1).cast("long"))
+
+    def above(levels: int) -> Column:
+        return _folder(F.try_element_at(parts, F.when(stepped, -levels - 2).otherwise(-levels - 1)))
+
+    return F.struct(above(3).alias("config"), above(2).alias("run"), above(1).alias("eval"), step.alias("step"))
 
 
 def model_type(model: Column) -> Column:

@@ -1,5 +1,7 @@
 """Text expressions: stripping, cutting and the two reasoning splits."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ WHITESPACE = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, for a costly value that is named repeatedly."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 

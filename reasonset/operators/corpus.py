@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, messages
 from ..functions import text as texts
 from . import turns as turn_ops
-from .position import SMALL_LIMIT, first_n, range_bucket, range_splits, with_position
+from .position import SMALL_LIMIT, first_n, range_bucket, with_position
 from .predicates import budget, corpus_filter, token_budget
 
 
@@ -45,7 +45,7 @@ def page(df: DataFrame, number: int, size: int = 50, key: str = "id", after: int
     start = (number - 1) * size
     if start + size <= SMALL_LIMIT:
         return df.orderBy(key).offset(start).limit(size)
-    placed = with_position(df, [F.col(key)], [range_bucket(F.col(key), range_splits(df, key))], name="_position")
+    placed = with_position(df, [F.col(key)], [range_bucket(df, key)], name="_position")
     return placed.filter((F.col("_position") >= start) & (F.col("_position") < start + size)).drop("_position")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schedule import due, lr_multiplier
-from .position import first_n, hash_bucket, hash_key, hashed_cutoff, range_bucket, range_splits, with_position, SMALL_LIMIT
+from .position import SMALL_LIMIT, first_n, hash_bucket, hash_key, hashed_cutoff, range_bucket, with_position
 from .predicates import missing_difficulty
 
 
@@ -79,7 +79,7 @@ def curriculum(
     first = F.col("epoch") == 0
     hashed = hash_key(F.col(key), F.lit(seed) + F.col("epoch"))
     rows = repeat_epochs(df, epochs).withColumn("_hash", F.when(~first, hashed))
-    ranges = range_bucket(F.col(key), range_splits(df, key))
+    ranges = range_bucket(df, key)
     buckets = [
         F.col("epoch"),
         F.when(first, F.col(difficulty)),
@@ -90,7 +90,7 @@ def curriculum(
 
 def _same_every_epoch(df: DataFrame, epochs: int, key: str, levels: list[str]) -> DataFrame:
     """Ranks the rows once and shifts the positions for each epoch."""
-    buckets = [*[F.col(c) for c in levels], range_bucket(F.col(key), range_splits(df, key))]
+    buckets = [*[F.col(c) for c in levels], range_bucket(df, key)]
     placed = with_position(df, [F.col(key)], buckets)
     shifted = F.col("position") + F.col("epoch") * row_count(df)
     return repeat_epochs(placed, epochs).withColumn("position", shifted)

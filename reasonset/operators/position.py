@@ -18,6 +18,9 @@ SMALL_LIMIT = 10_000
 # Upper bound of the number of key ranges, and with it of the values that reach the driver.
 MAX_RANGES = 1024
 
+# Whole-number keys may leave this many numbers per row unused and still be cut at equal widths.
+MAX_SPAN_PER_ROW = 8
+
 HASH_DIGITS = 3
 
 
@@ -38,23 +41,30 @@ def block_bucket(row_number: Column, rows: int = 1_000_000) -> Column:
     return F.floor(row_number / rows)
 
 
-def range_splits(df: DataFrame, key: str, ranges: int = MAX_RANGES) -> list:
-    """Quantiles of a numeric key, as at most ``ranges - 1`` values on the driver.
+def range_bucket(df: DataFrame, key: str, ranges: int = MAX_RANGES) -> Column:
+    """At most ``ranges`` even buckets of a unique numeric key, in key order.
 
-    They become constants of the plan. Any values give right positions, so that an approximate
-    quantile will do; good ones make even buckets.
+    One row of figures about the key decides how, and becomes constants of the plan, so that all
+    uses of the bucket agree. Whole numbers without large gaps get ranges of equal width: being
+    unique, no more of them than that width can fall into one. Other keys are cut at quantiles,
+    which may be approximate: any cuts give right positions, good ones make even buckets.
     """
     ranges = min(ranges, MAX_RANGES)
-    quantiles = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(key, quantiles, 10 * ranges).alias("q")).first()["q"]
-    return sorted(set(found or []))
+    low, high, rows = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    if not rows:
+        return F.lit(0)
+    whole = df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and high - low + 1 <= MAX_SPAN_PER_ROW * rows:
+        width = -(-(high - low + 1) // ranges)
+        return F.floor((F.col(key) - low) / width).cast("int")
+    shares = F.split(F.lit(",".join(str(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")
+    splits = df.agg(F.percentile_approx(key, shares, F.lit(10 * ranges)).alias("q")).first()["q"]
+    return split_bucket(F.col(key), sorted(set(splits)), df.schema[key].dataType.simpleString())
 
 
-def range_bucket(key: Column, splits: Sequence[int]) -> Column:
+def split_bucket(key: Column, splits: Sequence, dtype: str = "bigint") -> Column:
     """The number of splits not above the key, by binary search over a constant array."""
-    if not splits:
-        return F.lit(0)
-    values = F.split(F.lit(",".join(str(s) for s in splits)), ",").cast("array<long>")
+    values = F.split(F.lit(",".join(str(s) for s in splits)), ",").cast(f"array<{dtype}>")
     strides = [1 << b for b in reversed(range(len(splits).bit_length()))]
     return F.aggregate(
         F.array(*[F.lit(s) for s in strides]),
@@ -140,7 +150,7 @@ def cutoffs(
     return nth.select(*by, F.col(key).alias(name))
 
 
-def first_n(df: DataFrame, n: int | Column, key: str, by: Sequence[str] = (), splits: Sequence | None = None) -> DataFrame:
+def first_n(df: DataFrame, n: int | Column, key: str, by: Sequence[str] = ()) -> DataFrame:
     """The first ``n`` rows in the order of a unique numeric key, per group when ``by`` is given.
 
     Without groups a small ``n`` is a plain sorted limit. Otherwise a cut-off key is found from
@@ -150,8 +160,7 @@ def first_n(df: DataFrame, n: int | Column, key: str, by: Sequence[str] = (), sp
     if not by and isinstance(n, int) and n <= SMALL_LIMIT:
         return df.orderBy(key).limit(n)
     take = F.lit(n) if isinstance(n, int) else n
-    splits = range_splits(df, key) if splits is None else splits
-    cuts = cutoffs(df, key, range_bucket(F.col(key), splits), take, by, "_cutoff")
+    cuts = cutoffs(df, key, range_bucket(df, key), take, by, "_cutoff")
     if not by:
         return df.filter(F.col(key) <= cuts.select("_cutoff").scalar())
     cuts = cuts.select(*[F.col(c).alias(f"_o_{c}") for c in by], "_cutoff")
