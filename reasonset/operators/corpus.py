@@ -66,7 +66,7 @@ def make_subset(
     rows = df.filter(corpus_filter(source=source, domain=domain))
     if scan_cap is not None:
         rows = first_n(rows, scan_cap, key)
-    return first_n(token_budget(with_tokens(rows), max_tokens, max_assistant_tokens), limit, key)
+    return first_n(token_budget(with_tokens(rows), max_tokens, max_assistant_tokens), limit, key, derived=True)
 
 
 def make_subset_of_turns(
@@ -86,9 +86,8 @@ def make_subset_of_turns(
     """
     rows = examples.filter(corpus_filter(source=source, domain=domain))
     sized = turn_ops.with_tokens(turns, key).filter(budget(max_tokens, max_assistant_tokens))
-    chosen = first_n(rows.join(sized, key), limit, key)
-    kept = turns.join(chosen.select(key), key, "left_semi")
-    return chosen.join(turn_ops.nest_turns(kept, key), key)
+    chosen = first_n(rows.join(sized, key), limit, key, derived=True)
+    return turn_ops.nest_turns(turns.join(chosen, key), key, keep=[c for c in chosen.columns if c != key])
 
 
 def subset_per_source(df: DataFrame, n: int, key: str = "id", by: Sequence[str] = ("source",)) -> DataFrame:
@@ -117,7 +116,7 @@ def subset_sweep(df: DataFrame, requests: Sequence[dict], key: str = "id") -> Da
 
     matched = F.array_compact(F.array(*[request(i, r) for i, r in enumerate(requests)]))
     spread = df.select("*", F.explode(matched).alias("_request")).select("*", "_request.*").drop("_request")
-    return first_n(spread, F.col("limit"), key, by=["request", "limit"])
+    return first_n(spread, F.col("limit"), key, by=["request", "limit"], derived=True)
 
 
 def subset_stats(df: DataFrame) -> DataFrame:
@@ -147,6 +146,13 @@ def scan_funnel(
     )
 
 
+def sample_documents_of_turns(examples: DataFrame, turns: DataFrame, n: int = 10, key: str = "id") -> DataFrame:
+    """The same documents when turns are rows of their own: only the chosen ones' turns are read on."""
+    chosen = examples.orderBy(key).limit(n)
+    texts = turn_ops.first_turns(turns.join(chosen.select(key), key, "left_semi"), key)
+    return sample_documents(chosen.join(texts, key), n, key)
+
+
 def sample_documents(df: DataFrame, n: int = 10, key: str = "id") -> DataFrame:
     """The first ``n`` examples as readable documents.
 

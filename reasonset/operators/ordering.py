@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schedule import due, lr_multiplier
-from .position import SMALL_LIMIT, first_n, hash_bucket, hash_key, hashed_cutoff, range_bucket, with_position
+from .position import SMALL_LIMIT, first_n, hash_bucket, hash_key, hash_order, hashed_cutoff, range_bucket, with_position
 from .predicates import missing_difficulty
 
 
@@ -47,21 +47,26 @@ def head(df: DataFrame, n: int, key: str = "id") -> DataFrame:
 
 def global_position(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Every row's place in the seeded random order of its key."""
-    hashed = hash_key(F.col(key), seed)
-    placed = with_position(df.withColumn("_hash", hashed), [F.col("_hash")], [hash_bucket(F.col("_hash"))])
-    return placed.drop("_hash")
+    hashed = df.withColumn("_hash", hash_order(F.col(key), seed))
+    return with_position(hashed, [F.col("_hash"), F.col(key)], [hash_bucket(F.col("_hash"))]).drop("_hash")
 
 
 def curriculum(
-    df: DataFrame, mode: str, epochs: int, seed: int = 42, key: str = "id", difficulty: str = "difficulty"
+    df: DataFrame,
+    mode: str,
+    epochs: int,
+    seed: int = 42,
+    key: str = "id",
+    difficulty: str = "difficulty",
+    n_rows: Column | None = None,
 ) -> DataFrame:
     """The rows of all epochs with ``epoch`` and their ``position`` in the training order.
 
     ``none``: stored order in each epoch. ``easy_to_hard``: by difficulty in each epoch, ties in
     stored order. ``first_epoch_only``: by difficulty in epoch 0, then a new random order per
     epoch. ``grouped_shuffle``: all epochs together, by difficulty, random inside a difficulty.
-    The order is that of a unique numeric key. All modes but ``none`` fail on a row without
-    difficulty.
+    The stored order is that of a unique numeric key. All modes but ``none`` fail on a row without
+    difficulty. ``n_rows`` saves a count where the number of rows is known.
     """
     if mode not in ("none", "easy_to_hard", "first_epoch_only", "grouped_shuffle"):
         raise ValueError(f"unknown curriculum mode: {mode}")
@@ -70,14 +75,15 @@ def curriculum(
         checked = F.when(missing_difficulty(df, difficulty), F.raise_error(message).cast(df.schema[difficulty].dataType))
         df = df.withColumn(difficulty, checked.otherwise(F.col(difficulty)))
     if mode in ("none", "easy_to_hard"):
-        return _same_every_epoch(df, epochs, key, [difficulty] if mode == "easy_to_hard" else [])
+        levels = [difficulty] if mode == "easy_to_hard" else []
+        return _same_every_epoch(df, epochs, key, levels, row_count(df) if n_rows is None else n_rows)
     if mode == "grouped_shuffle":
-        hashed = hash_key(F.concat_ws(":", F.col(key), F.col("epoch")), seed)
+        hashed = hash_order(F.concat_ws(":", F.col(key), F.col("epoch")), seed)
         rows = repeat_epochs(df, epochs).withColumn("_hash", hashed)
         buckets = [F.col(difficulty), hash_bucket(F.col("_hash"))]
-        return with_position(rows, [F.col("_hash")], buckets).drop("_hash")
+        return with_position(rows, [F.col("_hash"), F.col(key), F.col("epoch")], buckets).drop("_hash")
     first = F.col("epoch") == 0
-    hashed = hash_key(F.col(key), F.lit(seed) + F.col("epoch"))
+    hashed = hash_order(F.col(key), F.lit(seed) + F.col("epoch"))
     rows = repeat_epochs(df, epochs).withColumn("_hash", F.when(~first, hashed))
     ranges = range_bucket(df, key)
     buckets = [
@@ -88,11 +94,11 @@ def curriculum(
     return with_position(rows, [F.col("_hash"), F.col(key)], buckets).drop("_hash")
 
 
-def _same_every_epoch(df: DataFrame, epochs: int, key: str, levels: list[str]) -> DataFrame:
+def _same_every_epoch(df: DataFrame, epochs: int, key: str, levels: list[str], n_rows: Column) -> DataFrame:
     """Ranks the rows once and shifts the positions for each epoch."""
     buckets = [*[F.col(c) for c in levels], range_bucket(df, key)]
     placed = with_position(df, [F.col(key)], buckets)
-    shifted = F.col("position") + F.col("epoch") * row_count(df)
+    shifted = F.col("position") + F.col("epoch") * n_rows
     return repeat_epochs(placed, epochs).withColumn("position", shifted)
 
 

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import saved_once
+
 # Up to this many rows, a sorted limit may finish on one machine; beyond it a cut-off key is used.
 SMALL_LIMIT = 10_000
 
@@ -24,16 +26,24 @@ MAX_SPAN_PER_ROW = 8
 HASH_DIGITS = 3
 
 
-def hash_key(key: Column, seed: int | Column) -> Column:
-    """Text that sorts rows in a seeded random order; unique when ``key`` is."""
+def _seeded(key: Column, seed: int | Column) -> Column:
     seed = F.lit(seed) if isinstance(seed, int) else seed
-    text = key.cast("string")
-    return F.concat(F.md5(F.concat(seed.cast("string"), F.lit(":"), text)), F.lit(":"), text)
+    return F.md5(F.concat(seed.cast("string"), F.lit(":"), key.cast("string")))
+
+
+def hash_order(key: Column, seed: int | Column) -> Column:
+    """Sixteen bytes that sort rows in a seeded random order."""
+    return F.unhex(_seeded(key, seed))
 
 
 def hash_bucket(hashed: Column, digits: int = HASH_DIGITS) -> Column:
-    """The first hex digits of a :func:`hash_key`: ``16 ** digits`` even buckets in sort order."""
-    return F.conv(F.substring(hashed, 1, digits), 16, 10).cast("int")
+    """The first hex digits of a :func:`hash_order`: ``16 ** digits`` even buckets in sort order."""
+    return F.conv(F.substring(F.hex(F.substring(hashed, 1, (digits + 1) // 2)), 1, digits), 16, 10).cast("int")
+
+
+def hash_key(key: Column, seed: int | Column) -> Column:
+    """Text that sorts rows in the same order and is unique when ``key`` is."""
+    return F.concat(_seeded(key, seed), F.lit(":"), key.cast("string"))
 
 
 def block_bucket(row_number: Column, rows: int = 1_000_000) -> Column:
@@ -150,17 +160,22 @@ def cutoffs(
     return nth.select(*by, F.col(key).alias(name))
 
 
-def first_n(df: DataFrame, n: int | Column, key: str, by: Sequence[str] = ()) -> DataFrame:
+def first_n(df: DataFrame, n: int | Column, key: str, by: Sequence[str] = (), derived: bool = False) -> DataFrame:
     """The first ``n`` rows in the order of a unique numeric key, per group when ``by`` is given.
 
     Without groups a small ``n`` is a plain sorted limit. Otherwise a cut-off key is found from
     the keys alone, and the rows themselves are filtered where they are, without a sort or shuffle.
+    ``derived`` says that which rows there are depends on wide columns, such as the length of a
+    text; the keys are then written once instead of being worked out for every use.
     """
     by = list(by)
     if not by and isinstance(n, int) and n <= SMALL_LIMIT:
         return df.orderBy(key).limit(n)
     take = F.lit(n) if isinstance(n, int) else n
-    cuts = cutoffs(df, key, range_bucket(df, key), take, by, "_cutoff")
+    keys = df.select(*by, key)
+    if derived:
+        keys = saved_once(keys, "keys")
+    cuts = cutoffs(keys, key, range_bucket(keys, key), take, by, "_cutoff")
     if not by:
         return df.filter(F.col(key) <= cuts.select("_cutoff").scalar())
     cuts = cuts.select(*[F.col(c).alias(f"_o_{c}") for c in by], "_cutoff")
@@ -171,4 +186,5 @@ def first_n(df: DataFrame, n: int | Column, key: str, by: Sequence[str] = ()) ->
 def hashed_cutoff(df: DataFrame, key: str, seed: int, take: Column) -> Column:
     """The hash key of the last of ``take`` rows in seeded random order, as a scalar subquery."""
     hashed = df.select(hash_key(F.col(key), seed).alias("_hash"))
-    return cutoffs(hashed, "_hash", hash_bucket(F.col("_hash")), take).select("cutoff").scalar()
+    bucket = F.conv(F.substring("_hash", 1, HASH_DIGITS), 16, 10).cast("int")
+    return cutoffs(hashed, "_hash", bucket, take).select("cutoff").scalar()

@@ -25,6 +25,16 @@ def first_result(samples: DataFrame, by: Sequence[str], order: str, columns: Seq
     )
 
 
+def digested_results(samples: DataFrame, by: str = "step", order: str = "sample_idx") -> DataFrame:
+    """The results that :func:`compare_runs` takes, one per (``by``, run, problem).
+
+    Responses become digests where they are read: texts of any length are compared without being
+    shuffled.
+    """
+    digest = F.sha2(F.coalesce("response", F.lit("")), 256)
+    return first_result(samples.withColumn("digest", digest), [by, "run", "problem"], order, ["digest", "answer"])
+
+
 def run_summary(results: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
     """Per run: passed, failed and all problems, and the accuracy."""
     return (
@@ -35,24 +45,24 @@ def run_summary(results: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
     )
 
 
-def compare_runs(results: DataFrame, by: str = "step", digest: Column | None = None) -> DataFrame:
+def compare_runs(results: DataFrame, by: str = "step") -> DataFrame:
     """Problems of each ``by`` value compared over its runs, in one shuffle.
 
+    Takes :func:`digested_results`.
+
     The first run by name is the reference: only its problems are compared, and only those that
     at least one other run has. ``category`` is ``flip`` when outcomes differ, ``same_passed`` or
-    ``same_failed`` when outcomes agree but texts do not, else ``identical``. Texts are compared
-    by digest, so that long responses are not shuffled; ``answers`` maps runs to answers.
+    ``same_failed`` when outcomes agree but texts do not, else ``identical``. ``answers`` maps
+    runs to answers.
     """
-    digest = F.sha2(F.coalesce("response", F.lit("")), 256) if digest is None else digest
-    slim = results.select(by, "run", "problem", "is_correct", "answer", digest.alias("_digest"))
-    firsts = slim.groupBy(F.col(by).alias("_by")).agg(F.min("run").alias("first_run"))
-    groups = slim.groupBy(by, "problem").agg(
+    firsts = results.groupBy(F.col(by).alias("_by")).agg(F.min("run").alias("first_run"))
+    groups = results.groupBy(by, "problem").agg(
         F.count(F.lit(1)).alias("n_runs"),
         F.min("run").alias("_first"),
         F.bool_and("is_correct").alias("_all"),
         F.bool_or("is_correct").alias("_any"),
-        F.min("_digest").alias("_low"),
-        F.max("_digest").alias("_high"),
+        F.min("digest").alias("_low"),
+        F.max("digest").alias("_high"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("run", F.coalesce("answer", F.lit("")))))).alias("answers"),
     )
     category = (
@@ -77,13 +87,13 @@ def comparison_counts(compared: DataFrame, by: str = "step") -> DataFrame:
     )
 
 
-def determinism_leaderboard(results: DataFrame, by: str = "model", digest: Column | None = None) -> DataFrame:
+def determinism_leaderboard(results: DataFrame, by: str = "model") -> DataFrame:
     """Per model: range of run accuracies, flips, and the share of identical problems, best first.
 
     The share is taken over all problems of the first run, so that a problem which no other run
     has counts as identical; ``not_compared`` tells how many those are.
     """
-    counts = comparison_counts(compare_runs(results, by, digest), by)
+    counts = comparison_counts(compare_runs(results, by), by)
     percent = F.bround(F.col("accuracy") * 100, 1)
     runs = (
         run_summary(results, [by, "run"])

@@ -5,6 +5,8 @@ the shuffle. A conversation that holds a large part of all turns is therefore no
 another, and only the texts that are asked for move.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +17,17 @@ from ..functions.text import cut
 BLOCK_TURNS = 10_000
 
 
-def nest_turns(df: DataFrame, key: str = "id", turn: str = "turn", block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """One row of ordered messages per conversation.
+def nest_turns(
+    df: DataFrame, key: str = "id", turn: str = "turn", block_turns: int = BLOCK_TURNS, keep: Sequence[str] = ()
+) -> DataFrame:
+    """One row of ordered messages per conversation, with the columns of ``keep``, equal in all its turns.
 
     A conversation longer than ``block_turns`` comes as several rows, numbered in ``block``, so
     that no single row has to hold an unbounded number of turns.
     """
     block = F.floor(F.col(turn) / block_turns).alias("block")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), "role", "text")))
-    return df.groupBy(key, block).agg(
+    return df.groupBy(key, *keep, block).agg(
         F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("messages")
     )
 

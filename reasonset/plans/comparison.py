@@ -3,13 +3,14 @@
 from pyspark.sql import DataFrame
 
 from ..operators import runs
+from ..session import saved_once
 from ..sinks import writers
 
 
 def compare_and_write(samples: DataFrame, root: str, by: str = "step", order: str = "sample_idx") -> DataFrame:
     """Compares runs on the first sample of each problem, writes the reports, returns the comparison."""
-    results = runs.first_result(samples, [by, "run", "problem"], order, ["response", "answer"])
-    compared = runs.compare_runs(results, by)
+    results = runs.digested_results(samples, by, order)
+    compared = saved_once(runs.compare_runs(results, by), "compared")
     summary = writers.comparison_summary(results, compared, by)
-    writers.write_comparison(summary, writers.difference_documents(results, compared, by), root, by)
+    writers.write_comparison(summary, writers.difference_documents(samples, compared, by, order), root, by)
     return compared

@@ -24,8 +24,9 @@ def training_plan(
     Give it keys and difficulties only, and join the texts to a step's keys when it is trained.
     """
     train, _ = ordering.train_test_split(df, train_fraction, seed, key)
-    ordered = ordering.curriculum(train, mode, epochs, seed, key)
-    batches = ordering.assign_batches(ordered, ordering.row_count(train), batch_size, epochs)
+    n_train = F.floor(F.lit(train_fraction) * ordering.row_count(df))
+    ordered = ordering.curriculum(train, mode, epochs, seed, key, n_rows=n_train)
+    batches = ordering.assign_batches(ordered, n_train, batch_size, epochs)
     return ordering.with_schedule(
         batches, F.col("total_steps"), learning_rate, eval_every, infrequent_eval_every, save_every
     )

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "reasonset", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,3 +37,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         root = tempfile.mkdtemp(prefix="reasonset-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved_once(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back.
+
+    For a narrow table that is derived from much wider rows and used more than once: the rows are
+    then read once for it, and a lost executor costs a re-read of files instead of a recomputation.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from ..functions.text import json_string
-from ..operators.runs import CATEGORIES, comparison_counts, run_summary
+from ..operators.runs import CATEGORIES, comparison_counts, first_result, run_summary
 
 # Most samples that one written result holds.
 BLOCK_SAMPLES = 10_000
@@ -143,9 +143,17 @@ def comparison_summary(results: DataFrame, compared: DataFrame, by: str = "step"
     return counts.select(by, content.alias("content"))
 
 
-def difference_documents(results: DataFrame, compared: DataFrame, by: str = "step") -> DataFrame:
-    """One readable document per run of every problem that was not identical in all runs."""
+def difference_documents(
+    samples: DataFrame, compared: DataFrame, by: str = "step", order: str = "sample_idx"
+) -> DataFrame:
+    """One readable document per run of every problem that was not identical in all runs.
+
+    Only the samples of those problems are looked at again for their texts.
+    """
     differing = compared.filter(F.col("category") != "identical").select(by, "problem", "category")
+    results = first_result(
+        samples.join(differing, [by, "problem"]), [by, "category", "problem", "run"], order, ["response", "answer"]
+    )
     status = F.when(F.col("is_correct"), "PASSED").otherwise("FAILED")
     document = F.concat(
         F.lit("Question Index: "), F.col("problem").cast("string"),
@@ -154,8 +162,7 @@ def difference_documents(results: DataFrame, compared: DataFrame, by: str = "ste
         F.lit("\nExtracted Answer: "), F.coalesce("answer", F.lit("")),
         F.lit("\n\nRESPONSE:\n"), F.coalesce("response", F.lit("")), F.lit("\n"),
     )
-    joined = results.join(differing, [by, "problem"])
-    return joined.select(by, "category", "problem", "run", status.alias("status"), document.alias("document"))
+    return results.select(by, "category", "problem", "run", status.alias("status"), document.alias("document"))
 
 
 def write_comparison(summary: DataFrame, documents: DataFrame, root: str, by: str = "step") -> None:

@@ -348,5 +348,4 @@ _SPLIT_ASSISTANT = "strpos(assistant_text, '<think>') > 0 AND strpos(assistant_t
     " chr(10), chr(10), '---', chr(10), chr(10), '## Output', chr(10), chr(10), output, chr(10)) AS document FROM parts"
 )
 def sample_documents(spark, sf_dir):
-    texts = turn_ops.first_turns(views.marked_turns(spark, sf_dir))
-    return corpus.sample_documents(views.conv_examples(spark, sf_dir).join(texts, "id"))
+    return corpus.sample_documents_of_turns(views.conv_examples(spark, sf_dir), views.marked_turns(spark, sf_dir))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reasonset.functions.text import WHITESPACE
-from reasonset.operators.runs import first_result
+from reasonset.operators.runs import digested_results
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,8 +108,7 @@ FIRST_RESULTS = (
 
 
 def first_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = first_result(samples(spark, sf_dir), ["run", "step", "problem"], "event_id", ["response"])
-    return first.withColumn("answer", F.col("response"))
+    return digested_results(samples(spark, sf_dir).withColumn("answer", F.col("response")), order="event_id")
 
 
 # Results of two evals, one of which is missing at every other step.
