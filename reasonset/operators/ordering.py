@@ -89,7 +89,8 @@ def curriculum(
     buckets = [
         F.col("epoch"),
         F.when(first, F.col(difficulty)),
-        F.when(first, ranges).otherwise(hash_bucket(F.col("_hash"))),
+        F.when(first, ranges),
+        F.when(~first, hash_bucket(F.col("_hash"))),
     ]
     return with_position(rows, [F.col("_hash"), F.col(key)], buckets).drop("_hash")
 

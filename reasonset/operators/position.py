@@ -38,7 +38,7 @@ def hash_order(key: Column, seed: int | Column) -> Column:
 
 def hash_bucket(hashed: Column, digits: int = HASH_DIGITS) -> Column:
     """The first hex digits of a :func:`hash_order`: ``16 ** digits`` even buckets in sort order."""
-    return F.conv(F.substring(F.hex(F.substring(hashed, 1, (digits + 1) // 2)), 1, digits), 16, 10).cast("int")
+    return F.substring(F.hex(F.substring(hashed, 1, (digits + 1) // 2)), 1, digits)
 
 
 def hash_key(key: Column, seed: int | Column) -> Column:
@@ -122,7 +122,8 @@ def with_position(
     names = [f"_bucket{i}" for i in range(len(buckets))]
     keyed = df.withColumns(dict(zip(names, buckets)))
     offsets = _bucket_offsets(keyed, by, names).drop("_rows", "_total")
-    inside = Window.partitionBy(*by, *names).orderBy(*order)
+    # The finest bucket leads the sort, where it tells most rows apart at the first comparison.
+    inside = Window.partitionBy(*reversed(names), *by).orderBy(*order)
     ranked = keyed.withColumn("_rank", F.row_number().over(inside))
     keys = [*by, *names]
     joined = ranked.join(offsets, _same(keys, [f"_o_{k}" for k in keys]))
@@ -153,9 +154,17 @@ def cutoffs(
             (F.col("_wanted") - F.col("_before")).alias("_nth"),
         )
     )
-    keys = [*by, "_bucket"]
-    candidates = keyed.join(edge, _same(keys, [f"_o_{k}" for k in keys]))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    if by:
+        # One row per group. Once written its size is known, and with it whether it is broadcast.
+        edge = saved_once(edge, "edges")
+        keys = [*by, "_bucket"]
+        candidates = keyed.join(edge, _same(keys, [f"_o_{k}" for k in keys]))
+        group = Window.partitionBy(*by)
+    else:
+        # One row: its values become constants of the scan's filter.
+        there = edge.select("_o__bucket").scalar()
+        candidates = keyed.filter(F.col("_bucket") == there).withColumn("_nth", edge.select("_nth").scalar())
+        group = Window.partitionBy(F.lit(0))
     nth = candidates.withColumn("_rank", F.row_number().over(group.orderBy(key))).filter(F.col("_rank") == F.col("_nth"))
     return nth.select(*by, F.col(key).alias(name))
 
@@ -178,7 +187,9 @@ def first_n(df: DataFrame, n: int | Column, key: str, by: Sequence[str] = (), de
     cuts = cutoffs(keys, key, range_bucket(keys, key), take, by, "_cutoff")
     if not by:
         return df.filter(F.col(key) <= cuts.select("_cutoff").scalar())
-    cuts = cuts.select(*[F.col(c).alias(f"_o_{c}") for c in by], "_cutoff")
+    # One row per group, written so that its true size decides on a broadcast: the rows need not
+    # be shuffled to find that out.
+    cuts = saved_once(cuts.select(*[F.col(c).alias(f"_o_{c}") for c in by], "_cutoff"), "cutoffs")
     joined = df.join(cuts, _same(by, [f"_o_{c}" for c in by]))
     return joined.filter(F.col(key) <= F.col("_cutoff")).drop("_cutoff", *[f"_o_{c}" for c in by])
 
@@ -186,5 +197,4 @@ def first_n(df: DataFrame, n: int | Column, key: str, by: Sequence[str] = (), de
 def hashed_cutoff(df: DataFrame, key: str, seed: int, take: Column) -> Column:
     """The hash key of the last of ``take`` rows in seeded random order, as a scalar subquery."""
     hashed = df.select(hash_key(F.col(key), seed).alias("_hash"))
-    bucket = F.conv(F.substring("_hash", 1, HASH_DIGITS), 16, 10).cast("int")
-    return cutoffs(hashed, "_hash", bucket, take).select("cutoff").scalar()
+    return cutoffs(hashed, "_hash", F.substring("_hash", 1, HASH_DIGITS), take).select("cutoff").scalar()

@@ -9,7 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import run_config
 from ..functions.text import bar
+from ..session import saved_once
 
 
 def first_result(samples: DataFrame, by: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
@@ -17,22 +19,27 @@ def first_result(samples: DataFrame, by: Sequence[str], order: str, columns: Seq
 
     The first sample is an aggregate, not a window, and so is found before the shuffle.
     """
-    fields = F.min_by(F.struct(*columns), F.col(order)).alias("_first")
-    return (
-        samples.groupBy(*by)
-        .agg(F.bool_or(F.coalesce("is_correct", F.lit(False))).alias("is_correct"), fields)
-        .select(*by, "is_correct", "_first.*")
+    return samples.groupBy(*by).agg(
+        F.bool_or(F.coalesce("is_correct", F.lit(False))).alias("is_correct"),
+        *[F.min_by(c, F.col(order)).alias(c) for c in columns],
     )
 
 
 def digested_results(samples: DataFrame, by: str = "step", order: str = "sample_idx") -> DataFrame:
     """The results that :func:`compare_runs` takes, one per (``by``, run, problem).
 
-    Responses become digests where they are read: texts of any length are compared without being
-    shuffled.
+    Responses become 128-bit digests where they are read: texts of any length are compared as two
+    numbers, without being shuffled.
     """
-    digest = F.sha2(F.coalesce("response", F.lit("")), 256)
-    return first_result(samples.withColumn("digest", digest), [by, "run", "problem"], order, ["digest", "answer"])
+    response = F.coalesce("response", F.lit(""))
+    digests = {"digest1": F.xxhash64(response), "digest2": F.xxhash64(F.lit(1), response)}
+    answered = samples.withColumns({**digests, "answer": F.coalesce("answer", F.lit(""))})
+    return first_result(answered, [by, "run", "problem"], order, [*digests, "answer"])
+
+
+def first_runs(samples: DataFrame, by: str = "step") -> DataFrame:
+    """The first run by name of each ``by`` value."""
+    return samples.groupBy(by).agg(F.min("run").alias("first_run"))
 
 
 def run_summary(results: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
@@ -45,29 +52,32 @@ def run_summary(results: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
     )
 
 
-def compare_runs(results: DataFrame, by: str = "step") -> DataFrame:
+def compare_runs(results: DataFrame, by: str = "step", firsts: DataFrame | None = None) -> DataFrame:
     """Problems of each ``by`` value compared over its runs, in one shuffle.
 
-    Takes :func:`digested_results`.
+    Takes :func:`digested_results`, and :func:`first_runs` of the samples where that saves working
+    them out of the results.
 
     The first run by name is the reference: only its problems are compared, and only those that
     at least one other run has. ``category`` is ``flip`` when outcomes differ, ``same_passed`` or
     ``same_failed`` when outcomes agree but texts do not, else ``identical``. ``answers`` maps
     runs to answers.
     """
-    firsts = results.groupBy(F.col(by).alias("_by")).agg(F.min("run").alias("first_run"))
+    firsts = first_runs(results, by) if firsts is None else firsts
+    # One row per ``by`` value; once written, its size decides whether it is broadcast.
+    firsts = saved_once(firsts.withColumnRenamed(by, "_by"), "first-runs")
     groups = results.groupBy(by, "problem").agg(
         F.count(F.lit(1)).alias("n_runs"),
         F.min("run").alias("_first"),
         F.bool_and("is_correct").alias("_all"),
         F.bool_or("is_correct").alias("_any"),
-        F.min("digest").alias("_low"),
-        F.max("digest").alias("_high"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("run", F.coalesce("answer", F.lit("")))))).alias("answers"),
+        (F.min("digest1") != F.max("digest1")).alias("_differ1"),
+        (F.min("digest2") != F.max("digest2")).alias("_differ2"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("run", "answer")))).alias("answers"),
     )
     category = (
         F.when(F.col("_all") != F.col("_any"), "flip")
-        .when(F.col("_low") == F.col("_high"), "identical")
+        .when(~F.col("_differ1") & ~F.col("_differ2"), "identical")
         .when(F.col("_all"), "same_passed")
         .otherwise("same_failed")
     )
@@ -87,13 +97,13 @@ def comparison_counts(compared: DataFrame, by: str = "step") -> DataFrame:
     )
 
 
-def determinism_leaderboard(results: DataFrame, by: str = "model") -> DataFrame:
+def determinism_leaderboard(results: DataFrame, by: str = "model", firsts: DataFrame | None = None) -> DataFrame:
     """Per model: range of run accuracies, flips, and the share of identical problems, best first.
 
     The share is taken over all problems of the first run, so that a problem which no other run
     has counts as identical; ``not_compared`` tells how many those are.
     """
-    counts = comparison_counts(compare_runs(results, by), by)
+    counts = comparison_counts(compare_runs(results, by, firsts), by)
     percent = F.bround(F.col("accuracy") * 100, 1)
     runs = (
         run_summary(results, [by, "run"])
@@ -129,6 +139,22 @@ def determinism_leaderboard(results: DataFrame, by: str = "model") -> DataFrame:
     )
 
 
+def list_runs(results: DataFrame, prefix: str = "") -> DataFrame:
+    """The runs to choose from, latest name first: a label of their dataset and time, and their keys."""
+    dataset = F.coalesce(run_config(F.col("config"))["dataset"], F.lit(""))
+    short = F.replace(dataset, F.lit(prefix), F.lit("")) if prefix else dataset
+    found = results.select("config", "run").distinct()
+    return found.withColumn("label", F.concat(short, F.lit(" / "), F.col("run"))).orderBy(F.desc("label"), "config")
+
+
+def list_steps(results: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
+    """The steps of each run in order, with the evals that have results there; -1 is a run without steps."""
+    evals = F.array_join(F.array_sort(F.collect_set("eval")), ", ")
+    steps = results.select(*by, "step", "eval").distinct().groupBy(*by, "step").agg(evals.alias("evals"))
+    name = F.when(F.col("step") == -1, "(no step)").otherwise(F.concat(F.lit("Step "), F.col("step").cast("string")))
+    return steps.withColumn("label", F.concat(name, F.lit(" — "), F.col("evals"))).orderBy(*by, "step")
+
+
 def previous_step(results: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
     """Each step of a run and the step before it, whichever evals they have.
 
@@ -151,7 +177,8 @@ def step_diff(results: DataFrame, per_eval: bool = False) -> DataFrame:
     before = previous_step(steps, ["run", "eval"] if per_eval else ["run"])
     known = steps.join(before, ["run", "eval", "step"] if per_eval else ["run", "step"])
     previous = steps.select("run", "eval", F.col("step").alias("prev_step"), F.lit(True).alias("_has_prev"))
-    known = known.join(previous, ["run", "eval", "prev_step"], "left")
+    # One row per step; once written, its size decides whether the results are shuffled for it.
+    known = saved_once(known.join(previous, ["run", "eval", "prev_step"], "left"), "steps")
     # A problem has at most one row per step, so this window is as short as a run has steps.
     history = Window.partitionBy("run", "eval", "problem").orderBy("step")
     seen = results.withColumns(

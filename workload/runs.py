@@ -29,16 +29,21 @@ _RUNS = """runs AS (SELECT step, run, count(*) FILTER (is_correct) AS passed, co
  round_even(count(*) FILTER (is_correct) / CAST(count(*) AS DOUBLE) * 100, 1) AS pct FROM first_results GROUP BY step, run)"""
 
 
+def _compared(spark, sf_dir):
+    firsts = runs.first_runs(views.samples(spark, sf_dir))
+    return runs.compare_runs(views.first_results(spark, sf_dir), firsts=firsts)
+
+
 @query(f"{_COMPARED} SELECT * FROM compared")
 def compare_runs(spark, sf_dir):
-    compared = runs.compare_runs(views.first_results(spark, sf_dir))
+    compared = _compared(spark, sf_dir)
     said = F.transform(F.map_entries("answers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return compared.withColumn("answers", F.array_join(said, ","))
 
 
 @query(f"{_COMPARED}, {_COUNTS} SELECT * FROM counts")
 def comparison_counts(spark, sf_dir):
-    return runs.comparison_counts(runs.compare_runs(views.first_results(spark, sf_dir)))
+    return runs.comparison_counts(_compared(spark, sf_dir))
 
 
 @query(
@@ -69,7 +74,8 @@ _BOARD = f"""{_COMPARED}, {_COUNTS}, {_RUNS}, spans AS (SELECT step, count(*) AS
 def determinism_leaderboard(spark, sf_dir):
     model = F.concat(F.lit("m"), F.col("step").cast("string"))
     results = views.first_results(spark, sf_dir).withColumn("model", model)
-    found = runs.determinism_leaderboard(results)
+    firsts = runs.first_runs(views.samples(spark, sf_dir).withColumn("model", model), "model")
+    found = runs.determinism_leaderboard(results, "model", firsts)
     return found.withColumn("identical_pct", F.round("identical_pct", 6))
 
 
@@ -80,7 +86,7 @@ def determinism_leaderboard(spark, sf_dir):
 )
 def parse_summaries(spark, sf_dir):
     results = views.first_results(spark, sf_dir)
-    texts = writers.comparison_summary(results, runs.compare_runs(results))
+    texts = writers.comparison_summary(results, _compared(spark, sf_dir))
     named = texts.withColumn("model", F.concat(F.lit("m"), F.col("step").cast("string")))
     found = leaderboard_of_texts(parse(named))
     return found.withColumn("identical_pct", F.round("identical_pct", 6))
@@ -98,6 +104,23 @@ _DIFFED = f"""WITH {RESULTS}, {_STEPS}, has AS (SELECT DISTINCT run, eval, step
   LEFT JOIN results p ON p.run = r.run AND p.eval = r.eval AND p.step = s.prev_step AND p.problem = r.problem)"""
 
 
+@query(
+    f"WITH {RESULTS}, found AS (SELECT DISTINCT concat('corpus_', problem % 9, '_s0.9_bs32_lr1e-05_e5_Org_Net') AS config, run"
+    " FROM results) SELECT config, run, concat(substr(config, 8, 1), ' / ', run) AS label FROM found"
+)
+def list_runs(spark, sf_dir):
+    config = F.concat(F.lit("corpus_"), (F.col("problem") % 9).cast("string"), F.lit("_s0.9_bs32_lr1e-05_e5_Org_Net"))
+    return runs.list_runs(views.results(spark, sf_dir).withColumn("config", config), "corpus_")
+
+
+@query(
+    f"WITH {RESULTS}, s AS (SELECT run, step, string_agg(DISTINCT eval, ', ' ORDER BY eval) AS evals FROM results GROUP BY run, step)"
+    " SELECT run, step, evals, concat('Step ', step, ' — ', evals) AS label FROM s"
+)
+def list_steps(spark, sf_dir):
+    return runs.list_steps(views.results(spark, sf_dir))
+
+
 @query(f"WITH {RESULTS}, {_STEPS} SELECT * FROM steps")
 def previous_step(spark, sf_dir):
     return runs.previous_step(views.results(spark, sf_dir))
