@@ -36,26 +36,71 @@ SUMMARY_FLIPS = r"Total outcome differences found: (\d+)"
 SUMMARY_SAME_DIFF = r"Same outcome, different response: (\d+) total"
 
 # Prompt texts.
-MATH_PREFIX = "Problem: "
-MATH_SUFFIX = "\nMark your solution with \\boxed\nAnswer:"
-CHOICE_SUFFIX = (
-    "Return your final response within \\boxed{} and only include the letter choice "
-    "(A, B, C, or D) as your final response."
-)
-CODE_STDIN_PREFIX = (
-    "Generate an executable Python function generated from the given prompt. The function should "
-    "take stdin as input and print the output. Simply call the function after the definition.\n"
-)
-CODE_FUNCTION_PREFIX = (
-    "Generate an executable Python function generated from the given prompt. Return the function "
-    "body without invoking it at the final solution.\n"
-)
-WORD_SUFFIX = " Provide a numerical answer without units, written inside \\boxed{}."
+MATH_PROMPT = """Problem: {problem}
+Mark your solution with \\boxed
+Answer:"""
+CHOICE_OPTION = "{letter}) {option}"
+CHOICE_PROMPT = """Problem: {question}
+
+Options:
+{options}
+
+Return your final response within \\boxed{} and only include the letter choice (A, B, C, or D) as your final response."""
+CODE_STDIN_PROMPT = """Generate an executable Python function generated from the given prompt. The function should take stdin as input and print the output. Simply call the function after the definition.
+{problem}"""
+CODE_FUNCTION_PROMPT = """Generate an executable Python function generated from the given prompt. Return the function body without invoking it at the final solution.
+{problem}"""
+WORD_PROMPT = "{question} Provide a numerical answer without units, written inside \\boxed{}."
 WORD_EXAMPLE_USER = "How many r's are in strawberry?"
-WORD_EXAMPLE_ASSISTANT = (
-    "Let's spell the word out and number all the letters: 1) s 2) t 3) r 4) a 5) w 6) b 7) e 8) r "
-    "9) r 10) y. We have r's at positions 3, 8, and 9. \\boxed{3}"
-)
+WORD_EXAMPLE_ASSISTANT = "Let's spell the word out and number all the letters: 1) s 2) t 3) r 4) a 5) w 6) b 7) e 8) r 9) r 10) y. We have r's at positions 3, 8, and 9. \\boxed{3}"
+
+# Documents.
+SAMPLE_DOCUMENT = """# Sample {sample}
+
+**Source:** {source}  
+**Domain:** {domain}  
+**Difficulty:** {difficulty}
+
+---
+
+## User Input
+
+{user_text}
+
+---
+
+## Thinking Tokens
+
+{reasoning}
+
+---
+
+## Output
+
+{output}
+"""
+COMPARISON_RUN = """
+{run}:
+  Passed: {passed}/{total} ({percent}%)
+  Failed: {failed}/{total}
+"""
+COMPARISON_SUMMARY = """Results Comparison - {title}
+
+Summary by Timestamp:
+{runs}
+Total outcome differences found: {flips}
+Same outcome, different response: {same} total
+  - Both passed, different response: {same_passed}
+  - Both failed, different response: {same_failed}
+"""
+DIFFERENCE_DOCUMENT = """Question Index: {problem}
+Timestamp: {run}
+Status: {status}
+Extracted Answer: {answer}
+
+RESPONSE:
+{response}
+"""
 
 # Messages shown in place of missing things.
 NO_CONVERSATION = "No conversation"

@@ -4,26 +4,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
+from .text import fill
 
 
 def math_prompt(problem: Column) -> Column:
-    return F.concat(F.lit(fixed.MATH_PREFIX), problem, F.lit(fixed.MATH_SUFFIX))
+    return fill(fixed.MATH_PROMPT, problem=problem)
 
 
 def choice_prompt(question: Column, options: Column) -> Column:
     """``options`` is the array of option texts in the order they are shown."""
     lines = F.transform(
-        options, lambda text, i: F.concat(F.substr(F.lit("ABCD"), i + 1, F.lit(1)), F.lit(") "), text)
-    )
-    return F.concat(
-        F.lit(fixed.MATH_PREFIX), question, F.lit("\n\nOptions:\n"), F.array_join(lines, "\n"),
-        F.lit("\n\n" + fixed.CHOICE_SUFFIX),
+        options,
+        lambda text, i: fill(fixed.CHOICE_OPTION, letter=F.substr(F.lit("ABCD"), i + 1, F.lit(1)), option=text),
     )
+    return fill(fixed.CHOICE_PROMPT, question=question, options=F.array_join(lines, "\n"))
 
 
 def code_prompt(problem: Column, is_stdin: Column) -> Column:
-    return F.concat(
-        F.when(is_stdin, fixed.CODE_STDIN_PREFIX).otherwise(fixed.CODE_FUNCTION_PREFIX), problem
+    return F.when(is_stdin, fill(fixed.CODE_STDIN_PROMPT, problem=problem)).otherwise(
+        fill(fixed.CODE_FUNCTION_PROMPT, problem=problem)
     )
 
 
@@ -35,7 +34,7 @@ def word_prompt(question: Column) -> Column:
     return F.array(
         say("user", F.lit(fixed.WORD_EXAMPLE_USER)),
         say("assistant", F.lit(fixed.WORD_EXAMPLE_ASSISTANT)),
-        say("user", F.concat(question, F.lit(fixed.WORD_SUFFIX))),
+        say("user", fill(fixed.WORD_PROMPT, question=question)),
     )
 
 

@@ -1,5 +1,6 @@
 """Text expressions: stripping, cutting and the two reasoning splits."""
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -20,6 +21,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def fill(template: str, **parts: Column) -> Column:
+    """The template with its ``{name}`` places filled from columns."""
+    pieces = re.split(r"\{([a-z_]+)\}", template)
+    return F.concat(*[parts[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 

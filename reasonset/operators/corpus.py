@@ -162,13 +162,14 @@ def sample_documents(df: DataFrame, n: int = 10, key: str = "id") -> DataFrame:
     reasoning = F.when(split["reasoning"] == "", fixed.NO_REASONING).otherwise(split["reasoning"])
     head = df.orderBy(key).limit(n)
     numbered = head.withColumn("sample", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)).cast("long"))
-    document = F.concat(
-        F.lit("# Sample "), F.col("sample").cast("string"),
-        F.lit("\n\n**Source:** "), F.coalesce("source", F.lit("unknown")),
-        F.lit("  \n**Domain:** "), F.coalesce("domain", F.lit("unknown")),
-        F.lit("  \n**Difficulty:** "), F.coalesce(F.col("difficulty").cast("string"), F.lit(fixed.NOT_AVAILABLE)),
-        F.lit("\n\n---\n\n## User Input\n\n"), F.col("user_text"),
-        F.lit("\n\n---\n\n## Thinking Tokens\n\n"), reasoning,
-        F.lit("\n\n---\n\n## Output\n\n"), split["output"], F.lit("\n"),
+    document = texts.fill(
+        fixed.SAMPLE_DOCUMENT,
+        sample=F.col("sample").cast("string"),
+        source=F.coalesce("source", F.lit("unknown")),
+        domain=F.coalesce("domain", F.lit("unknown")),
+        difficulty=F.coalesce(F.col("difficulty").cast("string"), F.lit(fixed.NOT_AVAILABLE)),
+        user_text=F.col("user_text"),
+        reasoning=reasoning,
+        output=split["output"],
     )
     return numbered.select("sample", document.alias("document"))

@@ -161,9 +161,10 @@ def cutoffs(
         candidates = keyed.join(edge, _same(keys, [f"_o_{k}" for k in keys]))
         group = Window.partitionBy(*by)
     else:
-        # One row: its values become constants of the scan's filter.
-        there = edge.select("_o__bucket").scalar()
-        candidates = keyed.filter(F.col("_bucket") == there).withColumn("_nth", edge.select("_nth").scalar())
+        # One row: its values become constants of the scan, both from the same subquery.
+        values = F.struct(F.col("_o__bucket").alias("bucket"), F.col("_nth").alias("nth"))
+        there = edge.select(values.alias("there")).scalar()
+        candidates = keyed.filter(F.col("_bucket") == there["bucket"]).withColumn("_nth", there["nth"])
         group = Window.partitionBy(F.lit(0))
     nth = candidates.withColumn("_rank", F.row_number().over(group.orderBy(key))).filter(F.col("_rank") == F.col("_nth"))
     return nth.select(*by, F.col(key).alias(name))

@@ -5,7 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
-from ..functions.text import json_string
+from ..functions import fixed
+from ..functions.text import fill, json_string
 from ..operators.runs import CATEGORIES, comparison_counts, first_result, run_summary
 
 # Most samples that one written result holds.
@@ -115,11 +116,16 @@ def write_results(samples: DataFrame, root: str, order: str = "sample_idx") -> N
 
 def comparison_summary(results: DataFrame, compared: DataFrame, by: str = "step") -> DataFrame:
     """Per ``by`` value the text of a run comparison: one paragraph per run, then the counts."""
-    percent = F.format_string("%.1f", F.bround(F.col("accuracy") * 100, 1))
-    of_total = F.concat(F.lit("/"), F.col("total").cast("string"))
-    paragraph = F.concat(
-        F.lit("\n"), F.col("run"), F.lit(":\n  Passed: "), F.col("passed").cast("string"), of_total,
-        F.lit(" ("), percent, F.lit("%)\n  Failed: "), F.col("failed").cast("string"), of_total, F.lit("\n"),
+    def number(column: Column) -> Column:
+        return column.cast("string")
+
+    paragraph = fill(
+        fixed.COMPARISON_RUN,
+        run=F.col("run"),
+        passed=number(F.col("passed")),
+        failed=number(F.col("failed")),
+        total=number(F.col("total")),
+        percent=F.format_string("%.1f", F.bround(F.col("accuracy") * 100, 1)),
     )
     runs = (
         run_summary(results, [by, "run"])
@@ -128,17 +134,14 @@ def comparison_summary(results: DataFrame, compared: DataFrame, by: str = "step"
     )
     counts = runs.join(comparison_counts(compared, by), by, "left").fillna(0, CATEGORIES)
 
-    def number(column: Column) -> Column:
-        return column.cast("string")
-
-    same = F.col("same_passed") + F.col("same_failed")
-    content = F.concat(
-        F.lit("Results Comparison - "), number(F.col(by)), F.lit("\n\nSummary by Timestamp:\n"),
-        F.array_join(F.transform("_runs", lambda r: r["text"]), ""),
-        F.lit("\nTotal outcome differences found: "), number(F.col("flip")),
-        F.lit("\nSame outcome, different response: "), number(same), F.lit(" total\n"),
-        F.lit("  - Both passed, different response: "), number(F.col("same_passed")),
-        F.lit("\n  - Both failed, different response: "), number(F.col("same_failed")), F.lit("\n"),
+    content = fill(
+        fixed.COMPARISON_SUMMARY,
+        title=number(F.col(by)),
+        runs=F.array_join(F.transform("_runs", lambda r: r["text"]), ""),
+        flips=number(F.col("flip")),
+        same=number(F.col("same_passed") + F.col("same_failed")),
+        same_passed=number(F.col("same_passed")),
+        same_failed=number(F.col("same_failed")),
     )
     return counts.select(by, content.alias("content"))
 
@@ -155,12 +158,13 @@ def difference_documents(
         samples.join(differing, [by, "problem"]), [by, "category", "problem", "run"], order, ["response", "answer"]
     )
     status = F.when(F.col("is_correct"), "PASSED").otherwise("FAILED")
-    document = F.concat(
-        F.lit("Question Index: "), F.col("problem").cast("string"),
-        F.lit("\nTimestamp: "), F.col("run"),
-        F.lit("\nStatus: "), status,
-        F.lit("\nExtracted Answer: "), F.coalesce("answer", F.lit("")),
-        F.lit("\n\nRESPONSE:\n"), F.coalesce("response", F.lit("")), F.lit("\n"),
+    document = fill(
+        fixed.DIFFERENCE_DOCUMENT,
+        problem=F.col("problem").cast("string"),
+        run=F.col("run"),
+        status=status,
+        answer=F.coalesce("answer", F.lit("")),
+        response=F.coalesce("response", F.lit("")),
     )
     return results.select(by, "category", "problem", "run", status.alias("status"), document.alias("document"))
 
