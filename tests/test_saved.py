@@ -150,10 +150,15 @@ def test_metrics_stream(spark, tmp_path):
 
 
 def test_order_key(spark, sf_dir):
+    from reasonset.operators.position import block_bucket, with_position
     from reasonset.sources.corpus import read_corpus
 
     df = read_corpus(spark, f"{sf_dir}/doc*.parquet", order_key=True)
     assert df.select("file_name", "row_index").distinct().count() == df.count()
+    buckets = [F.col("file_name"), block_bucket(F.col("row_index"), 100)]
+    keys = df.select("file_name", "row_index")
+    placed = with_position(keys, [F.col("row_index")], buckets).orderBy("position").collect()
+    assert [r["row_index"] for r in placed] == [r["position"] for r in placed] == list(range(df.count()))
 
 
 def test_saved_once(spark):

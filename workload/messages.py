@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from reasonset.functions import answers, arrays, messages, names, prompts, text
+from reasonset.functions import answers, arrays, fixed, names, prompts, text
 from reasonset.operators import turns as turn_ops
 from reasonset.sources.corpus import decode_messages as decode
 
@@ -352,7 +352,7 @@ def extract_code(spark, sf_dir):
     found = views.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), answers.extract_code(content).alias("code")
     )
-    return found.withColumn("error", F.when(F.col("code").isNull(), "No code found").otherwise(""))
+    return found.withColumn("error", F.when(F.col("code").isNull(), fixed.NO_CODE).otherwise(""))
 
 
 _EXPECTED = "concat(' ', o_orderpriority, CASE o_orderkey % 4 WHEN 0 THEN '-' WHEN 1 THEN concat(' - ', chr(10)) ELSE chr(10) END)"
