@@ -4,7 +4,9 @@ import __spark_entry__ as entry
 import oracle
 import pytest
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from workload import registry
+
+QUERIES, SQL = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
