@@ -5,7 +5,7 @@ piece may be cut between them before any merge is looked at. The fragments are e
 distinct fragment once, and their ids concatenated; the result is that of the whole piece. A final byte
 carries the end-of-word mark, so pairs with it are counted apart from pairs without it.
 
-Merges inside a fragment follow the ranks of the tokenizer file. Normalization, cutting into pieces and
+The library's BPE model merges inside a fragment, by the ranks of the tokenizer file. Normalization, cutting into pieces and
 added tokens are those of the file; texts are split at white space first, which no piece crosses.
 
 Defined results: null and empty texts have no ids and decode to an empty text; ids without a token are left
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import models
 
 from .common import small_batches, table
 from .word_memo import LIMIT, WordMemo, WordPieces, word_pieces
@@ -33,11 +34,13 @@ class ForcedBoundaryEncoder:
     def __init__(self, prepared: WordPieces):
         self.prepared = prepared
         model, self.suffix = prepared.spec["model"], prepared.suffix
-        self.vocabulary: dict[str, int] = model["vocab"]
-        self.rank = {tuple(m): i for i, m in enumerate(model["merges"])}
+        merges = [tuple(m) for m in model["merges"]]
+        # Only the last fragment of a piece ends with the end-of-word mark.
+        self.ending = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix, cache_capacity=0)
+        self.inside = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
         self.inner: set[tuple[str, str]] = set()
         self.final: set[tuple[str, str]] = set()
-        for token in self.vocabulary:
+        for token in model["vocab"]:
             body, ends = (token[: -len(self.suffix)], True) if self.suffix and token.endswith(self.suffix) else (token, not self.suffix)
             pairs = list(zip(body, body[1:]))
             self.inner.update(pairs if not self.suffix else pairs[:-1] if ends else pairs)
@@ -66,27 +69,8 @@ class ForcedBoundaryEncoder:
         return out
 
     def _merge(self, fragment: str, last: bool) -> list[int]:
-        """Joins the lowest-ranked pair, all its places from left to right, until none has a rank."""
-        parts = list(fragment)
-        if last:
-            parts[-1] += self.suffix
-        rank, none = self.rank, len(self.rank)
-        while len(parts) > 1:
-            ranks = [rank.get(pair, none) for pair in zip(parts, parts[1:])]
-            best = min(ranks)
-            if best == none:
-                break
-            joined, i = [], 0
-            while i < len(parts):
-                if i < len(ranks) and ranks[i] == best:
-                    joined.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    joined.append(parts[i])
-                    i += 1
-            parts = joined
-        # Without an unknown token, a symbol that the vocabulary lacks has no id.
-        return [self.vocabulary[p] for p in parts if p in self.vocabulary]
+        """The merges of one fragment, by the ranks of the file."""
+        return [token.id for token in (self.ending if last else self.inside).tokenize(fragment)]
 
 
 @lru_cache(maxsize=2)
@@ -155,10 +139,15 @@ def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = token_bytes(path)
         for batch in batches:
-            column = batch.column(1)
-            values, cuts = column.values.to_pylist(), column.offsets.to_pylist()
-            texts = [b" ".join([known[i] for i in values[a:b] if 0 <= i < len(known) and known[i]]).decode() for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            cuts = batch.column(1).offsets.to_numpy()
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                values = part.column(1).values  # of the whole batch
+                texts = []
+                for a, b in zip(cuts[start : start + part.num_rows], cuts[start + 1 :]):
+                    ids = values[int(a) : int(b)].to_numpy().tolist()
+                    texts.append(b" ".join([known[i] for i in ids if 0 <= i < len(known) and known[i]]).decode())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return run
 

@@ -15,7 +15,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-LIMIT = 600_000
+LIMIT = 200_000
 
 # White space as Unicode has it; str.split() also cuts at the four separators U+001C to U+001F.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
