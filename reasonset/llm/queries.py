@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import forced_bpe, near_dup, quality, token_store
+from . import forced_bpe, near_dup, quality, token_store, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op3_near_duplicates": near_dup.op3_near_duplicates,
     "op5_token_store": token_store.op5_token_store,
     "op7_forced_bpe": forced_bpe.op7_forced_bpe,
@@ -10,5 +11,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_warc": warc.OP1_SQL,
     "op9_quality": quality.OP9_SQL,
 }
