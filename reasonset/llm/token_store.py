@@ -212,7 +212,8 @@ def _read_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Per document: ``doc_id``, ``start`` in the whole store, and ``ids`` as little-endian 32-bit integers."""
     docs = spark.read.parquet(f"{folder}/blocks").mapInArrow(_read_docs, "part int, doc_id long, start long, ids binary")
-    return docs.join(part_starts(spark, folder), "part").select("doc_id", (F.col("start") + F.col("part_start")).alias("start"), "ids")
+    # One short row per written part, of which there are as many as shuffle partitions: never the size of the data.
+    return docs.join(F.broadcast(part_starts(spark, folder)), "part").select("doc_id", (F.col("start") + F.col("part_start")).alias("start"), "ids")
 
 
 def tokens_at(spark: SparkSession, folder: str, position: int) -> int | None:
