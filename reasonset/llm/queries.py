@@ -1,16 +1,21 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import forced_bpe, near_dup, quality, token_store, warc
+from . import chat, forced_bpe, near_dup, packing, quality, token_store, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_chat": chat.op2_chat,
     "op3_near_duplicates": near_dup.op3_near_duplicates,
+    "op4_top_k": topk.op4_top_k,
     "op5_token_store": token_store.op5_token_store,
     "op7_forced_bpe": forced_bpe.op7_forced_bpe,
+    "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
 }
 
 SQL = {
     "op1_warc": warc.OP1_SQL,
+    "op2_chat": chat.OP2_SQL,
+    "op4_top_k": topk.OP4_SQL,
     "op9_quality": quality.OP9_SQL,
 }
