@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import chat, forced_bpe, near_dup, packing, quality, token_store, topk, warc
+from . import chat, forced_bpe, html_text, near_dup, packing, quality, token_store, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_near_duplicates": near_dup.op3_near_duplicates,
     "op4_top_k": topk.op4_top_k,
     "op5_token_store": token_store.op5_token_store,
+    "op6_html_text": html_text.op6_html_text,
     "op7_forced_bpe": forced_bpe.op7_forced_bpe,
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
