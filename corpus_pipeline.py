@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reasonset.llm import quality
+from reasonset.llm import near_dup, packing, pii, quality
 from reasonset.llm.common import table
 from reasonset.session import saved_once
 
@@ -14,8 +14,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    return near_dup.one_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts, found by patterns and a field trained on these documents."""
+    return pii.redact(docs, pii.fit(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places the documents in training sequences."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("personal data", personal_data),
+    ("best-fit packing", best_fit_packing),
 ]
 
 #: SQL cannot express the near-duplicate, personal-data and packing stages; tests hold them against brute force.

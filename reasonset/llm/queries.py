@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import chat, forced_bpe, html_text, near_dup, packing, quality, token_store, topk, warc
+from . import chat, forced_bpe, html_text, near_dup, packing, pii, quality, token_store, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_forced_bpe": forced_bpe.op7_forced_bpe,
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
+    "op10_pii": pii.op10_pii,
 }
 
 SQL = {
