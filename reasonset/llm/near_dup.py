@@ -14,8 +14,10 @@ probability of their weighted Jaccard similarity. Sixteen bands of four samples
    bucket; pairs whose signatures agree in less than ``ESTIMATE`` are dropped, the others verified by the exact
    weighted Jaccard similarity. Verified pairs give classes.
 3. Buckets that still hold several classes are compared member by member across classes, signature against
-   signature, in blocks of bounded size; what agrees is verified as well. So every pair that shares a bucket is
-   linked by its class, or compared; a bucket of many copies of one thing costs one pair per member.
+   signature, in blocks of bounded size, each pair in the first band that it shares. The texts of members that agree across classes
+   are brought to the block and verified there, the likeliest first, until the block's classes are joined or nothing is
+   left; only links leave the task. So every pair that shares a bucket is linked by its class, or compared; a bucket of
+   many copies of one thing costs one pair per member.
 
 Agreement of 64 samples below 0.65 at a similarity of 0.8 or more lies three standard deviations away, sharing no
 band of sixteen has a probability of 0.0002 at 0.8 and less above.
@@ -46,7 +48,7 @@ WORDS, BANDS, ROWS = 5, 16, 4
 SAMPLES = BANDS * ROWS
 THRESHOLD, ESTIMATE = 0.8, 0.65
 BUCKETS = 1 << 16
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 FILTER_WORDS = 1 << 17
 
 _U = np.uint64
@@ -191,22 +193,23 @@ def _sign(rarity):
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 shingles, weights = weighted_shingles(words[cuts[i] : cuts[i + 1]], idf)
                 if not len(shingles):
-                    rows.append((doc_id, None, None, None))
+                    rows.append((doc_id, None, None, None, None))
                     continue
                 prints = sampler.sample(shingles, weights)
                 digest = hashlib.md5(column[i].as_buffer(), usedforsecurity=False).digest()
-                rows.append((doc_id, digest, (prints >> _U(48)).astype("<u2").tobytes(), _bands(prints).astype(np.int64).tolist()))
-            ids, digests, signatures, bands = zip(*rows)
+                rows.append((doc_id, digest, (prints >> _U(48)).astype("<u2").tobytes(), _bands(prints).astype(np.int64).tolist(), len(column[i].as_buffer())))
+            ids, digests, signatures, bands, sizes = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "tid", "sig", "bands"]
+                [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
+                ["doc_id", "tid", "sig", "bands", "size"],
             )
 
     return run
 
 
 def signatures(docs: DataFrame, rarity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, digest of the text (``tid``), signature, band keys; the last three null without words."""
-    return _texts(docs, id_col, text_col).mapInArrow(_sign(rarity), "doc_id long, tid binary, sig binary, bands array<bigint>")
+    """Per row: id, digest of the text (``tid``), signature, band keys, bytes of the text; all but the id null without words."""
+    return _texts(docs, id_col, text_col).mapInArrow(_sign(rarity), "doc_id long, tid binary, sig binary, bands array<bigint>, size long")
 
 
 def _agreement(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -221,22 +224,87 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(close))
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (i, j, members), the pairs of different classes whose signatures agree; i = j compares a block with itself."""
+def _candidates(members: list[dict], band: int, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block with itself (i = j) or with another: places x, y of members of different classes whose signatures
+    agree and that share no earlier band, how much they agree, and the classes of all members."""
+    sig = np.frombuffer(b"".join(m["sig"] for m in members), "<u2").reshape(-1, SAMPLES)
+    block = np.array([m["block"] for m in members])
+    names: dict[bytes, int] = {}
+    cls = np.array([names.setdefault(m["component"], len(names)) for m in members])
+    every, xs, ys, shares = np.arange(len(members)), [], [], []
+    for x in range(len(members)):
+        others = np.flatnonzero((cls != cls[x]) & ((block > block[x]) if i != j else (every > x)))
+        if not len(others):
+            continue
+        same = sig[others] == sig[x]
+        share = same.mean(1)
+        earlier = same.reshape(len(others), BANDS, ROWS)[:, :band].all(2).any(1)
+        close = (share >= ESTIMATE) & ~earlier
+        xs.append(np.full(close.sum(), x))
+        ys.append(others[close])
+        shares.append(share[close])
+    flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return flat(xs, np.int64), flat(ys, np.int64), flat(shares, np.float64), cls
+
+
+_PLACE = "key long, band int, i int, j int"
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of blocks that agree with a member of another class."""
+    schema = pa.schema([("key", pa.int64()), ("band", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("tid", pa.binary()), ("component", pa.binary()), ("sig", pa.binary())])
     for batch in batches:
-        a, b = [], []
-        for i, j, members in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            sig = np.frombuffer(b"".join(m["sig"] for m in members), "<u2").reshape(-1, SAMPLES)
-            block = np.array([m["block"] for m in members])
-            _, cls = np.unique(np.array([m["component"] for m in members], "S16"), return_inverse=True)
-            for x in range(len(members)):
-                others = np.flatnonzero((cls != cls[x]) & ((block != block[x]) if i != j else (np.arange(len(members)) > x)))
-                if i != j:
-                    others = others[block[x] < block[others]]
-                close = others[(sig[others] == sig[x]).mean(1) >= ESTIMATE] if len(others) else others
-                a += [members[x]["tid"]] * len(close)
-                b += [members[y]["tid"] for y in close]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        rows = []
+        for row in batch.to_pylist():
+            members = row.pop("members")
+            x, y, _, _ = _candidates(members, row["band"], row["i"], row["j"])
+            rows += [{**row, **members[k]} for k in np.unique(np.concatenate([x, y])).tolist()]
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def _link_blocks(rarity, threshold: float):
+    """Links between classes inside blocks of members with their texts: no more than the classes need to be joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for n in range(batch.num_rows):
+                row = batch.slice(n, 1).to_pylist()[0]
+                members = row["members"]
+                x, y, share, cls = _candidates(members, row["band"], row["i"], row["j"])
+                vectors: dict[int, tuple] = {}
+                root = list(range(int(cls.max()) + 1))
+
+                def top(c: int) -> int:
+                    while root[c] != c:
+                        root[c] = root[root[c]]
+                        c = root[c]
+                    return c
+
+                def vector(k: int):
+                    if k not in vectors:
+                        vectors[k] = weighted_shingles(word_hashes(pa.array([members[k]["text"]]))[0], rarity.value)
+                    return vectors[k]
+
+                for k in np.argsort(-share, kind="stable").tolist():
+                    p, q = int(x[k]), int(y[k])
+                    one, two = top(cls[p]), top(cls[q])
+                    if one != two and alike(vector(p), vector(q), threshold):
+                        root[one] = two
+                        a.append(members[p]["tid"])
+                        b.append(members[q]["tid"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def alike(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], threshold: float) -> bool:
+    """Whether the weighted Jaccard similarity of two weighted sets reaches the threshold."""
+    (ha, wa), (hb, wb) = one, two
+    at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
+    both = hb[at] == ha
+    shared = float(np.minimum(wa[both], wb[at[both]]).sum(dtype=np.float64))
+    return shared >= threshold * (float(wa.sum(dtype=np.float64)) + float(wb.sum(dtype=np.float64)) - shared)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -259,11 +327,7 @@ def _similar(rarity, threshold: float):
         for batch in batches:
             close = []
             for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                (ha, wa), (hb, wb) = vector(a, batch.column(2), i), vector(b, batch.column(3), i)
-                _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-                shared = float(np.minimum(wa[ia], wb[ib]).sum(dtype=np.float64))
-                every = float(wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64)) - shared
-                close.append(shared >= threshold * every)
+                close.append(alike(vector(a, batch.column(2), i), vector(b, batch.column(3), i), threshold))
             yield batch.select([0, 1]).filter(pa.array(close, pa.bool_()))
 
     return run
@@ -312,26 +376,29 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     # Identical texts become one, named by its smallest document id.
     firsts = signed.where("tid IS NOT NULL").groupBy("tid").agg(F.min("doc_id").alias("doc_id"))
     unique = signed.where("tid IS NOT NULL").dropDuplicates(["tid", "doc_id"]).join(firsts.withColumnRenamed("doc_id", "first"), "tid").where(F.col("doc_id").eqNullSafe(F.col("first")))
-    members = unique.select("tid", "doc_id", "sig", F.explode("bands").alias("key"))
-    shared_keys = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = unique.select("tid", "doc_id", "sig", "size", F.posexplode("bands").alias("band", "key"))
+    shared_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     members = saved_once(members.join(shared_keys, "key"), "buckets")
     texts = saved_once(_needed_texts(docs, members.select("tid", "doc_id").distinct(), id_col, text_col), "texts")
 
     leaders = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("tid", "key").alias("o"), F.col("tid").alias("a"), F.col("sig").alias("sig_a"))).alias("x")).select("key", "x.a", "x.sig_a")
     led = members.join(leaders, "key").where("tid <> a").select("a", F.col("tid").alias("b"), "sig_a", F.col("sig").alias("sig_b"))
-    first_pairs = saved_once(_ordered(led.mapInArrow(_alike, "a binary, b binary")), "pairs")
-    links = saved_once(_verified(first_pairs, texts, rarity, threshold), "links")
+    pairs = _ordered(led.mapInArrow(_alike, "a binary, b binary"))
+    links = saved_once(_verified(pairs, texts, rarity, threshold), "links")
     classes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # Buckets in which several classes meet, block against block.
-    placed = members.join(classes.withColumnRenamed("node", "tid"), "tid", "left").select("key", "n", "tid", "sig", F.coalesce("component", "tid").alias("component"))
+    placed = members.join(classes.withColumnRenamed("node", "tid"), "tid", "left").select("key", "band", "n", "bytes", "tid", "sig", F.coalesce("component", "tid").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
     dealt = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("tid", F.lit(1)), blocks).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    grouped = dealt.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("block", "tid", "component", "sig")).alias("members"))
-    crossed = _ordered(grouped.select("i", "j", "members").mapInArrow(_compare_blocks, "a binary, b binary")).join(first_pairs, ["a", "b"], "left_anti")
-    more = saved_once(_verified(crossed, texts, rarity, threshold), "links")
+    at = ["key", "band", "i", "j"]
+    dealt = dealt.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "tid", "component", "sig")
+    met = dealt.groupBy(*at).agg(F.collect_list(F.struct("block", "tid", "component", "sig")).alias("members"))
+    agreeing = met.mapInArrow(_agreeing, f"{_PLACE}, block int, tid binary, component binary, sig binary")
+    met = agreeing.join(texts, "tid").groupBy(*at).agg(F.collect_list(F.struct("block", "tid", "component", "sig", "text")).alias("members"))
+    more = saved_once(met.mapInArrow(_link_blocks(rarity, threshold), "a binary, b binary").distinct(), "links")
     every = links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
     final = components(every) if more.limit(1).count() else classes
 

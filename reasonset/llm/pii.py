@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from .common import small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
-TRAIN_DOCS, TRAIN_RUN, STEPS, BUCKETS = 1000, 12, 60, 1 << 12
+TRAIN_DOCS, TRAIN_RUNS, TRAIN_RUN, STEPS, BUCKETS = 1000, 32, 12, 60, 1 << 12
 
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -251,14 +252,17 @@ def all_spans(texts: list[str], field: Field | None) -> list[tuple[list[Span], l
 
 
 def label_table(docs: DataFrame, rows: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most ``rows`` documents with digits, those of the smallest hashed ids: the sample whose words are labelled."""
+    """The labelled sample: ``shapes`` and ``labels`` of the runs in at most ``rows`` documents with digits, those of the smallest
+    hashed ids; of each document its first ``TRAIN_RUNS`` runs of at most ``TRAIN_RUN`` words."""
     only = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9]"))
-    return only.withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h").limit(rows).select(_around_digits("text").alias("parts"))
+    sample = only.withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h").limit(rows).select("text")
+    return sample.mapInArrow(_label, "shapes array<string>, labels array<int>")
 
 
-def _around_digits(text: str):
-    """Up to a bounded number of short stretches around digits and at-signs, so that long texts stay out of the sample."""
-    return F.slice(F.regexp_extract_all(text, F.lit(r"((?:\S{1,40}\s+){0,6}\S{0,40}[0-9@]\S{0,60}(?:\s+\S{1,40}){0,6})"), F.lit(1)), 1, 8)
+def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [r for text in batch.column(0).to_pylist() for r in islice((r for r in labelled(text) if len(r[1]) <= TRAIN_RUN), TRAIN_RUNS)]
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.list_(pa.string())), pa.array([x for _, x in found], pa.list_(pa.int32()))], ["shapes", "labels"])
 
 
 def labelled(text: str) -> Iterator[tuple[list[str], list[int]]]:
@@ -273,12 +277,11 @@ def labelled(text: str) -> Iterator[tuple[list[str], list[int]]]:
         yield shapes, labels
 
 
-def train(texts: list[str], steps: int = STEPS) -> Field | None:
-    """Fits the field to labelled texts by full-batch gradient steps; none if nothing in them is labelled.
+def train(rows: list[tuple[list[str], list[int]]], steps: int = STEPS) -> Field | None:
+    """Fits the field to labelled runs by full-batch gradient steps; none if nothing in them is labelled.
 
-    Runs of more than ``TRAIN_RUN`` words are left out of training. Equal contexts are summed before features are.
+    Equal contexts are summed before their features are.
     """
-    rows = [r for text in texts for r in labelled(text) if len(r[1]) <= TRAIN_RUN]
     if not any(any(labels) for _, labels in rows):
         return None
     contexts: dict[tuple[str, str, str], int] = {}
@@ -330,8 +333,8 @@ def train(texts: list[str], steps: int = STEPS) -> Field | None:
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Field | None:
-    sample = [part for row in label_table(docs, rows, id_col, text_col).collect() for part in row["parts"]]
-    return train(sorted(sample))
+    rows = [(row["shapes"], row["labels"]) for row in label_table(docs, rows, id_col, text_col).collect()]
+    return train(sorted(rows))
 
 
 # Operators
