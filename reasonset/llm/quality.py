@@ -146,7 +146,10 @@ def keep(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULE
     The input's columns are kept inside one struct meanwhile, so that none of them can clash with a count.
     """
     held = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    return with_counts(held).where(F.expr(verdict(rules))).select("row.*")
+    # A condition on plain expressions would be moved below the projections, each array expression written out where
+    # it is used; one on a row number stays above them, and every array is made once.
+    counted = with_counts(held).withColumn("__row", F.monotonically_increasing_id())
+    return counted.where(F.expr(f"__row >= 0 AND {verdict(rules)}")).select("row.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
