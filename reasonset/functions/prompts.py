@@ -7,6 +7,11 @@ from . import fixed
 from .text import fill
 
 
+def _letter(place: Column) -> Column:
+    """The letter of an option, counted from 1; empty for 0, and an error beyond the four letters of the prompts."""
+    return F.when(place > 4, F.raise_error(F.lit("more than four options"))).otherwise(F.substr(F.lit("ABCD"), place, F.lit(1)))
+
+
 def math_prompt(problem: Column) -> Column:
     return fill(fixed.MATH_PROMPT, problem=problem)
 
@@ -15,7 +20,7 @@ def choice_prompt(question: Column, options: Column) -> Column:
     """``options`` is the array of option texts in the order they are shown."""
     lines = F.transform(
         options,
-        lambda text, i: fill(fixed.CHOICE_OPTION, letter=F.substr(F.lit("ABCD"), i + 1, F.lit(1)), option=text),
+        lambda text, i: fill(fixed.CHOICE_OPTION, letter=_letter(i + 1), option=text),
     )
     return fill(fixed.CHOICE_PROMPT, question=question, options=F.array_join(lines, "\n"))
 
@@ -51,4 +56,4 @@ def shuffle_options(question: Column, options: Column, seed: int = 42) -> Column
 
 def answer_letter(options: Column, correct: Column) -> Column:
     """The letter of the first option equal to the right answer."""
-    return F.substr(F.lit("ABCD"), F.array_position(options, correct).cast("int"), F.lit(1))
+    return _letter(F.array_position(options, correct).cast("int"))

@@ -17,11 +17,12 @@ from ..session import saved_once
 def first_result(samples: DataFrame, by: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
     """One result per problem: whether any sample is correct, and the first sample's ``columns``.
 
-    The first sample is an aggregate, not a window, and so is found before the shuffle.
+    The first sample is an aggregate, not a window, and so is found before the shuffle. A sample
+    without a number comes first.
     """
     return samples.groupBy(*by).agg(
         F.bool_or(F.coalesce("is_correct", F.lit(False))).alias("is_correct"),
-        *[F.min_by(c, F.col(order)).alias(c) for c in columns],
+        *[F.min_by(c, F.struct(order)).alias(c) for c in columns],
     )
 
 

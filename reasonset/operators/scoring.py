@@ -17,11 +17,11 @@ def grade(df: DataFrame, content: str = "content", target: str = "target") -> Da
 
 
 def attach_samples(
-    problems: DataFrame, samples: DataFrame, by: Sequence[str] = ("problem",), missing: str = "fail"
+    problems: DataFrame, samples: DataFrame, by: Sequence[str] = ("problem",), missing: str = "fail", k: int = 1
 ) -> DataFrame:
-    """Every problem's samples; a problem without any keeps one row that is not correct.
+    """Every problem's samples; a problem without any gets ``k`` rows that are not correct.
 
-    ``missing="skip"`` leaves such problems out. Answered problems are an inner join, whose skewed
+    Errors that samples carry stay. ``missing="skip"`` leaves problems without samples out. Answered problems are an inner join, whose skewed
     partitions Spark can split when one problem has very many samples; the others are found
     against the distinct problems.
     """
@@ -32,7 +32,10 @@ def attach_samples(
         return answered
     silent = problems.join(samples.select(*by).distinct(), by, "left_anti")
     silent = silent.withColumn("is_correct", F.lit(False)).withColumn("error", F.lit("No response"))
-    return answered.withColumn("error", F.lit("")).unionByName(silent, allowMissingColumns=True)
+    if k != 1:
+        silent = silent.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(k)))).drop("_k")
+    error = F.coalesce("error", F.lit("")) if "error" in answered.columns else F.lit("")
+    return answered.withColumn("error", error).unionByName(silent, allowMissingColumns=True)
 
 
 def pass_at_k(samples: DataFrame, by: Sequence[str] = ("problem",)) -> DataFrame:
@@ -46,14 +49,15 @@ def pass_at_k(samples: DataFrame, by: Sequence[str] = ("problem",)) -> DataFrame
 def accuracy(problems: DataFrame, samples: DataFrame, by: Sequence[str], problem: str = "problem") -> DataFrame:
     """Per run, eval or step (``by``): solved problems over all problems of the set.
 
-    A problem without samples stays in the denominator, and an empty problem set gives 0. Samples
-    are reduced to one row per problem before they meet the problem set.
+    A problem without samples stays in the denominator; an empty problem set, and a run without a
+    sample of the set, give 0. Samples are reduced to one row per problem before they meet the problem set.
     """
     problem_set = problems.select(problem).distinct()
     size = problem_set.agg(F.count(F.lit(1)).alias("n")).scalar()
-    known = pass_at_k(samples, [*by, problem]).join(problem_set, problem, "left_semi")
+    inside = problem_set.withColumn("_in", F.lit(True))
+    known = pass_at_k(samples, [*by, problem]).join(inside, problem, "left")
     solved = known.groupBy(*by).agg(
-        F.count_if("is_correct").alias("n_correct"), F.count(F.lit(1)).alias("n_answered")
+        F.count_if(F.col("is_correct") & F.col("_in")).alias("n_correct"), F.count("_in").alias("n_answered")
     )
     return solved.withColumn("n_problems", size).withColumn(
         "accuracy", F.coalesce(F.try_divide(F.col("n_correct").cast("double"), F.col("n_problems")), F.lit(0.0))
@@ -68,9 +72,9 @@ def sample_verdict(samples: DataFrame, tests: DataFrame, results: DataFrame) ->
     """
     per_test = results.groupBy("problem", "sample", "test").agg(F.bool_and("passed").alias("passed"))
     wanted = per_test.join(tests.distinct(), ["problem", "test"], "left_semi")
-    passed = wanted.groupBy("sample").agg(F.count_if("passed").alias("n_passed"))
+    passed = wanted.groupBy("problem", "sample").agg(F.count_if("passed").alias("n_passed"))
     needed = tests.distinct().groupBy("problem").agg(F.count(F.lit(1)).alias("n_tests"))
-    joined = samples.join(passed, "sample", "left").join(needed, "problem", "left")
+    joined = samples.join(passed, ["problem", "sample"], "left").join(needed, "problem", "left")
     return joined.select(
         "problem",
         "sample",

@@ -49,7 +49,7 @@ def generate_subset(
     subset = corpus.make_subset(df, max_tokens, limit, max_assistant_tokens, source, domain)
     writers.write_rows(subset, root, name)
     saved = read_subset(spark, root, name)
-    if saved is None:
+    if saved is None or saved.isEmpty():
         return None
     stats = corpus.subset_stats(saved)
     writers.write_metadata(writers.subset_metadata(stats, name, base_dataset, filters, author, created_at), root, name)

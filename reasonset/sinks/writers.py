@@ -9,10 +9,6 @@ from ..functions import fixed
 from ..functions.text import fill, json_string
 from ..operators.runs import CATEGORIES, comparison_counts, first_result, run_summary
 
-# Most samples that one written result holds.
-BLOCK_SAMPLES = 10_000
-
-
 def subset_metadata(
     stats: DataFrame, name: str, base_dataset: str, filters: dict, author: str = "", created_at: str | None = None
 ) -> DataFrame:
@@ -52,7 +48,14 @@ def write_subset(
 
 
 def write_rows(df: DataFrame, root: str, name: str) -> None:
-    _replace_folders(df.withColumn("subset", F.lit(name)), ["subset"]).parquet(f"{root}/dataset")
+    """The rows of one subset; its folder is replaced even by no rows."""
+    df.write.mode("overwrite").parquet(f"{root}/dataset/{folder('subset', name)}")
+
+
+def folder(column: str, value: str) -> str:
+    """The folder of one value of a partition column, escaped as Spark does."""
+    held = "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in value)
+    return f"{column}={held or '__HIVE_DEFAULT_PARTITION__'}"
 
 
 def write_metadata(metadata: DataFrame, root: str, name: str) -> None:
@@ -94,8 +97,9 @@ def write_stats(stats: DataFrame, root: str, name: str = "stats") -> None:
 def write_results(samples: DataFrame, root: str, order: str = "sample_idx") -> None:
     """Writes evaluation results as JSON lines, one folder per (config, run, eval, step).
 
-    Takes one row per sample; the samples of a problem become one result. A problem with more than
-    ``BLOCK_SAMPLES`` samples is written as several results, so that no row grows without bound.
+    Takes one row per sample; all samples of a problem become one result, and the verdict and pass@k are those
+    of the whole problem. Fields of the problem (prompt, target, difficulty, id) are written where samples carry them.
+    Folders that get results are replaced; rows are rebalanced by folder, so that one gets few files.
     """
     sample = F.struct(
         F.col(order).alias("sample_idx"),
@@ -105,13 +109,14 @@ def write_results(samples: DataFrame, root: str, order: str = "sample_idx") -> N
         F.col("error"),
     )
     keys = ["config", "run", "eval", "step"]
-    block = F.floor(F.col(order) / BLOCK_SAMPLES).alias("_block")
-    results = samples.groupBy(*keys, F.col("problem").alias("index"), block).agg(
+    stored = {"problem_id": "problem_id", "prompt": "prompt", "target": "correct_answer", "difficulty": "difficulty"}
+    results = samples.groupBy(*keys, F.col("problem").alias("index")).agg(
         F.array_sort(F.collect_list(sample)).alias("samples"),
         F.bool_or("is_correct").alias("is_correct"),
         F.count(F.lit(1)).alias("pass_at_k"),
+        *[F.max(c).alias(name) for c, name in stored.items() if c in samples.columns],
     )
-    results.drop("_block").write.mode("append").partitionBy(*keys).json(root)
+    _replace_folders(results.hint("rebalance", *keys), keys).json(root)
 
 
 def comparison_summary(results: DataFrame, compared: DataFrame, by: str = "step") -> DataFrame:

@@ -15,12 +15,13 @@ RESULT = (
 
 
 def read_results(spark: SparkSession, root: str, pattern: str = "*.json*") -> DataFrame:
-    """All result files below ``root`` with the keys of their paths; blank lines are skipped.
+    """All result files below ``root`` with the keys of their paths; blank lines are skipped, a broken line
+    fails the read.
 
     The schema is given, so that no pass over the files is needed to infer it.
     """
     files = (
-        spark.read.schema(RESULT).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(root)
+        spark.read.schema(RESULT).option("mode", "FAILFAST").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(root)
     )
     return with_run_keys(files.select("*", F.col("_metadata.file_path").alias("path"))).drop("path")
 
@@ -32,25 +33,38 @@ def with_run_keys(df: DataFrame, path: str = "path") -> DataFrame:
 
 
 def explode_samples(results: DataFrame) -> DataFrame:
-    """One row per sample, in the form the scoring and comparison operators take."""
-    exploded = results.select("config", "run", "eval", "step", F.col("index").alias("problem"), F.posexplode_outer("samples"))
+    """One row per sample, in the form the scoring and comparison operators take.
+
+    A result without samples becomes one row with the result's own verdict and no text. Prompt, target, difficulty
+    and pass@k of the result come along.
+    """
+    target = F.coalesce("correct_answer", "target_answer").alias("target")
+    exploded = results.select(
+        "config", "run", "eval", "step", F.col("index").alias("problem"), "problem_id", F.coalesce("prompt", "problem").alias("prompt"),
+        target, "difficulty", "pass_at_k", F.col("is_correct").alias("verdict"), F.posexplode_outer("samples"),
+    )
     return exploded.select(
         "config",
         "run",
         "eval",
         "step",
         "problem",
-        F.coalesce("col.sample_idx", F.col("pos").cast("long")).alias("sample_idx"),
+        F.coalesce("col.sample_idx", F.col("pos").cast("long"), F.lit(0)).alias("sample_idx"),
         F.coalesce("col.content", F.lit("")).alias("response"),
         F.coalesce("col.extracted_answer", "col.model_answer", F.lit("")).alias("answer"),
-        F.coalesce("col.is_correct", F.lit(False)).alias("is_correct"),
+        F.coalesce("col.is_correct", "verdict", F.lit(False)).alias("is_correct"),
         F.coalesce("col.error", F.lit("")).alias("error"),
+        "problem_id",
+        "prompt",
+        "target",
+        "difficulty",
+        "pass_at_k",
     )
 
 
 def read_problems(spark: SparkSession, paths: str | Sequence[str], schema: str, fields: dict[str, str]) -> DataFrame:
     """Several problem files as one table; ``fields`` maps stored names to names of ours."""
-    df = spark.read.schema(schema).json(paths if isinstance(paths, str) else list(paths))
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(paths if isinstance(paths, str) else list(paths))
     return to_problem(df, fields)
 
 

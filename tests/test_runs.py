@@ -106,7 +106,34 @@ def test_scoring(spark):
     assert scoring.attach_samples(problems, answered, missing="skip").count() == 3
     row = scoring.accuracy(problems, answered, ["run"]).first()
     assert (row["n_correct"], row["n_answered"], row["n_problems"], row["accuracy"]) == (1, 2, 3, pytest.approx(1 / 3))
-    assert scoring.accuracy(problems.limit(0), answered, ["run"]).count() == 0
+    assert tuple(scoring.accuracy(problems.limit(0), answered, ["run"]).first()) == ("r", 0, 0, 0, 0.0)
+    outside = spark.createDataFrame([("s", 9, True)], "run string, problem bigint, is_correct boolean")
+    assert tuple(scoring.accuracy(problems, outside, ["run"]).first()) == ("s", 0, 0, 3, 0.0)
+    failed = answered.withColumn("error", F.when(F.col("problem") == 2, "No code found"))
+    errors = scoring.attach_samples(problems, failed, k=4).groupBy("problem").agg(F.count("*").alias("n"), F.max("error").alias("e"))
+    assert sorted(map(tuple, errors.collect())) == [(1, 2, ""), (2, 1, "No code found"), (3, 4, "No response")]
+
+
+def test_verdict_where_sample_numbers_restart(spark):
+    tests = spark.createDataFrame([("p", 1), ("p", 2), ("q", 1), ("q", 2)], "problem string, test int")
+    taken = spark.createDataFrame([("p", 0), ("q", 0)], "problem string, sample int")
+    rows = spark.createDataFrame([("p", 0, 1, True), ("p", 0, 2, False), ("q", 0, 1, False), ("q", 0, 2, True)], "problem string, sample int, test int, passed boolean")
+    found = scoring.sample_verdict(taken, tests, rows).collect()
+    assert {(r["problem"], r["n_passed"], r["is_correct"]) for r in found} == {("p", 1, False), ("q", 1, False)}
+
+
+def test_late_null_changes_nothing(spark):
+    from reasonset.operators.metrics import merge_metrics
+
+    kind = "run string, step int, metric string, value double, seq int"
+    base, late = spark.createDataFrame([("r", 0, "a", 1.0, 1)], kind), spark.createDataFrame([("r", 0, "a", None, 2)], kind)
+    assert merge_metrics(base, late).first()["value"] == 1.0
+
+
+def test_results_without_samples_differ_from_an_answer(spark):
+    rows = [("a", "r1", 1, None, "", False), ("a", "r2", 1, 0, "abc", False)]
+    samples = spark.createDataFrame(rows, "step string, run string, problem int, sample_idx long, response string, is_correct boolean").withColumn("answer", F.lit(""))
+    assert [r["category"] for r in runs.compare_runs(runs.digested_results(samples)).collect()] == ["same_failed"]
 
 
 def test_verdict(spark):

@@ -116,6 +116,35 @@ def test_results_in_the_stored_layout(spark, tmp_path):
     long = {(r["eval"], r["problem"]): r for r in results.explode_samples(read).collect()}
     assert long["choice", 0]["answer"] == "A" and long["choice", 1]["response"] == ""
     assert long["code", 0]["sample_idx"] == 3 and long["code", 0]["is_correct"] is False
+    assert long["choice", 1]["sample_idx"] == 0
+
+
+def test_results_keep_their_verdict_and_broken_lines_fail(spark, tmp_path):
+    folder = tmp_path / "cfg" / "20250101_000000" / "code"
+    folder.mkdir(parents=True)
+    (folder / "code_results.jsonl").write_text('{"index": 2, "is_correct": true, "prompt": "p", "correct_answer": "7"}\n')
+    row = results.explode_samples(results.read_results(spark, str(tmp_path))).first()
+    assert (row["is_correct"], row["sample_idx"], row["response"], row["prompt"], row["target"]) == (True, 0, "", "p", "7")
+    (folder / "more_results.jsonl").write_text('{"index": 3, "is_corr\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        results.read_results(spark, str(tmp_path)).collect()
+
+
+def test_results_are_one_record_per_problem_and_replaced(spark, tmp_path):
+    rows = [("c", "20250101_000000", "code", 1, 7, i, "t", "a", i == 20_000, "") for i in (0, 20_000)]
+    samples = spark.createDataFrame(rows, "config string, run string, eval string, step int, problem long, sample_idx long, response string, answer string, is_correct boolean, error string")
+    for _ in range(2):
+        writers.write_results(samples, str(tmp_path / "out"))
+    found = spark.read.json(str(tmp_path / "out")).collect()
+    assert [(r["index"], r["pass_at_k"], r["is_correct"], len(r["samples"])) for r in found] == [(7, 2, True, 2)]
+
+
+def test_empty_subset_replaces_the_old_one(spark, tmp_path):
+    rows = spark.createDataFrame([(1,), (2,)], "id int")
+    writers.write_rows(rows, str(tmp_path), "a b")
+    writers.write_rows(rows, str(tmp_path), "other")
+    writers.write_rows(rows.limit(0), str(tmp_path), "a b")
+    assert {r["subset"] for r in spark.read.parquet(str(tmp_path / "dataset")).collect()} == {"other"}
 
 
 def test_summaries(spark, tmp_path):

@@ -20,13 +20,16 @@ def _stored_samples(spark, sf_dir):
     rows = views.samples(spark, sf_dir).withColumnRenamed("event_id", "sample_idx")
     return rows.select(
         "*", F.lit("corpus a").alias("config"), F.lit("code").alias("eval"), F.col("response").alias("answer"),
-        F.lit("").alias("error"),
+        F.lit("").alias("error"), F.concat(F.lit("item "), F.col("problem").cast("string")).alias("problem_id"),
+        F.concat(F.lit("Solve "), F.col("problem").cast("string")).alias("prompt"),
+        F.concat(F.lit("t"), F.col("problem").cast("string")).alias("target"), F.lit("easy").alias("difficulty"),
     )
 
 
 @query(
     f"WITH {SAMPLES} SELECT 'corpus a' AS config, run, 'code' AS eval, step, problem, event_id AS sample_idx, response,"
-    " response AS answer, is_correct, '' AS error FROM samples"
+    " response AS answer, is_correct, '' AS error, concat('item ', problem) AS problem_id, concat('Solve ', problem) AS prompt,"
+    " concat('t', problem) AS target, 'easy' AS difficulty, count(*) OVER (PARTITION BY run, step, problem) AS pass_at_k FROM samples"
 )
 def read_results(spark, sf_dir):
     root = shared_folder(spark, "results")

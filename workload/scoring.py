@@ -1,5 +1,6 @@
 """Scoring of samples, and rewards."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reasonset.operators import rewards, scoring
@@ -33,10 +34,11 @@ def pass_at_k(spark, sf_dir):
 
 
 @query(
-    f"WITH {SAMPLES}, {_PROBLEMS}, solved AS (SELECT run, step, problem, bool_or(is_correct) AS ok FROM samples"
-    " WHERE problem IN (SELECT problem FROM problems) GROUP BY run, step, problem)"
-    " SELECT run, step, count(*) FILTER (ok) AS n_correct, count(*) AS n_answered, (SELECT count(*) FROM problems) AS n_problems,"
-    " round(count(*) FILTER (ok) / CAST((SELECT count(*) FROM problems) AS DOUBLE), 9) AS accuracy FROM solved GROUP BY run, step"
+    f"WITH {SAMPLES}, {_PROBLEMS}, solved AS (SELECT run, step, problem, bool_or(is_correct) AS ok,"
+    " problem IN (SELECT problem FROM problems) AS inside FROM samples GROUP BY run, step, problem)"
+    " SELECT run, step, count(*) FILTER (ok AND inside) AS n_correct, count(*) FILTER (inside) AS n_answered,"
+    " (SELECT count(*) FROM problems) AS n_problems,"
+    " round(count(*) FILTER (ok AND inside) / CAST((SELECT count(*) FROM problems) AS DOUBLE), 9) AS accuracy FROM solved GROUP BY run, step"
 )
 def accuracy(spark, sf_dir):
     found = scoring.accuracy(_problems(spark, sf_dir), views.samples(spark, sf_dir), ["run", "step"])
@@ -44,29 +46,30 @@ def accuracy(spark, sf_dir):
 
 
 # Tests: an order priority is a problem with one or three tests; an order is a sample, its lines
-# are test results.
+# are test results. Samples are numbered anew in each problem, as evaluations number them.
 _N_TESTS = "length(o_orderpriority) % 3 + 1"
-_VERDICT = f"""WITH tests AS (SELECT DISTINCT o_orderpriority AS problem, unnest(range(1, {_N_TESTS} + 1)) AS test FROM orders),
+_VERDICT = f"""WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS nr FROM orders), tests AS (SELECT DISTINCT o_orderpriority AS problem, unnest(range(1, {_N_TESTS} + 1)) AS test FROM orders),
  results AS (SELECT l_orderkey AS sample, l_linenumber AS test, bool_and(l_linestatus = 'O') AS passed FROM lineitem GROUP BY 1, 2),
- joined AS (SELECT o.o_orderpriority AS problem, o.o_orderkey AS sample, t.test, coalesce(r.passed, false) AS passed
-  FROM orders o LEFT JOIN tests t ON t.problem = o.o_orderpriority LEFT JOIN results r ON r.sample = o.o_orderkey AND r.test = t.test)
+ joined AS (SELECT o.o_orderpriority AS problem, o.nr AS sample, t.test, coalesce(r.passed, false) AS passed
+  FROM numbered o LEFT JOIN tests t ON t.problem = o.o_orderpriority LEFT JOIN results r ON r.sample = o.o_orderkey AND r.test = t.test)
  SELECT problem, sample, count(*) FILTER (passed) AS n_passed, count(test) AS n_tests,
   count(*) FILTER (passed) = count(test) AS is_correct FROM joined GROUP BY problem, sample"""
 
 
 @query(_VERDICT)
 def sample_verdict(spark, sf_dir):
-    samples = views.table(spark, sf_dir, "orders").select(
-        F.col("o_orderpriority").alias("problem"), F.col("o_orderkey").alias("sample")
-    )
+    orders = views.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("problem"))
+    in_problem = Window.partitionBy("problem").orderBy("o_orderkey")
+    numbered = orders.withColumn("sample", (F.row_number().over(in_problem) - 1).cast("long"))
+    samples = numbered.select("problem", "sample")
     kinds = samples.select("problem").distinct()
     tests = kinds.select("problem", F.explode(F.sequence(F.lit(1), F.length("problem") % 3 + 1)).alias("test"))
     lines = views.table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("sample"),
+        F.col("l_orderkey").alias("o_orderkey"),
         F.col("l_linenumber").alias("test"),
         (F.col("l_linestatus") == "O").alias("passed"),
     )
-    return scoring.sample_verdict(samples, tests, lines.join(samples, "sample"))
+    return scoring.sample_verdict(samples, tests, lines.join(numbered, "o_orderkey"))
 
 
 @query(
