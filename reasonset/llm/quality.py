@@ -80,7 +80,8 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> str:
 def _windows(hashes: Column, n: int = WINDOW) -> Column:
     """A hash of each run of ``n`` words, from the hashes of the words."""
     starts = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
-    return F.transform(starts, lambda _, i: F.xxhash64(F.slice(hashes, i + 1, F.lit(n))))
+    # Single elements are read in place; a slice for each window would copy the whole array each time.
+    return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(hashes, i + k) for k in range(1, n)]))
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
