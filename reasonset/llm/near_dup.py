@@ -340,8 +340,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, rarity, threshold: float) -> D
     return joined.mapInArrow(_similar(rarity, threshold), "a binary, b binary")
 
 
-def _slots(tid: str = "tid", doc_id: str = "doc_id"):
-    return F.pmod(F.xxhash64(tid, doc_id), F.lit(FILTER_WORDS * 64))
+def _slot(*columns):
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_WORDS * 64))
+
+
+def _bitmap(slots: DataFrame) -> DataFrame:
+    """(w, bits): a bitmap of slots ``s`` as at most ``FILTER_WORDS`` numbers of 64 bits."""
+    return slots.groupBy(F.floor(F.col("s") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) AS int)))").alias("bits"))
 
 
 def _needed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -349,9 +354,8 @@ def _needed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
 
     The bitmap only spares shuffling; whatever it lets through is joined exactly.
     """
-    slots = wanted.select(_slots().alias("s")).groupBy(F.floor(F.col("s") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) AS int)))").alias("bits"))
     bits = np.zeros(FILTER_WORDS, np.int64)
-    for w, b in slots.toPandas().itertuples(index=False):
+    for w, b in _bitmap(wanted.select(_slot("tid", "doc_id").alias("s"))).toPandas().itertuples(index=False):
         bits[int(w)] = b
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bits.tobytes())
@@ -363,7 +367,7 @@ def _needed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
             some = (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             yield batch.select([1, 2, 3]).filter(pa.array(some))
 
-    rows = _texts(docs, id_col, text_col).withColumn("tid", F.unhex(F.md5("text"))).select(_slots().alias("s"), "tid", "doc_id", "text")
+    rows = _texts(docs, id_col, text_col).withColumn("tid", F.unhex(F.md5("text"))).select(_slot("tid", "doc_id").alias("s"), "tid", "doc_id", "text")
     sifted = rows.mapInArrow(sift, "tid binary, doc_id long, text string")
     return sifted.join(wanted, sifted.tid.eqNullSafe(wanted.tid) & sifted.doc_id.eqNullSafe(wanted.doc_id), "left_semi").dropDuplicates(["tid"]).select("tid", "text")
 
@@ -418,7 +422,14 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     """
     classes = saved_once(near_duplicates(docs, threshold, id_col, text_col), "classes")
     gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    # A bitmap of fixed size tells in the scan which rows cannot be meant; only the others are shuffled to be sure.
+    number = F.col(id_col).cast("long")
+    bitmap = _bitmap(gone.select(_slot(F.col("__gone")).alias("s"))).withColumnRenamed("w", "__w").withColumnRenamed("bits", "__bits")
+    slot = _slot(number)
+    marked = docs.join(F.broadcast(bitmap), F.floor(slot / 64) == F.col("__w"), "left")
+    meant = F.coalesce(F.getbit("__bits", F.pmod(slot, F.lit(64)).cast("int")) == 1, F.lit(False))
+    clear = marked.where(~meant).select(docs["*"])
+    left = clear.unionByName(marked.where(meant).select(docs["*"]).join(gone, number == F.col("__gone"), "left_anti"))
     again = classes.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again")
     if not again.limit(1).count():
         return left
