@@ -255,7 +255,10 @@ def label_table(docs: DataFrame, rows: int = TRAIN_DOCS, id_col: str = "doc_id",
     """The labelled sample: ``shapes`` and ``labels`` of the runs in at most ``rows`` documents with digits, those of the smallest
     hashed ids; of each document its first ``TRAIN_RUNS`` runs of at most ``TRAIN_RUN`` words."""
     only = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9]"))
-    sample = only.withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h").limit(rows).select("text")
+    hashed = only.withColumn("h", F.xxhash64("doc_id", "text"))
+    # Only hashes are ordered; the texts are then filtered where they are.
+    last = hashed.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    sample = hashed.where(F.col("h") <= F.lit(last)).limit(rows).select("text")
     return sample.mapInArrow(_label, "shapes array<string>, labels array<int>")
 
 
