@@ -114,8 +114,7 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 )
             ),
         )
-        .withColumns(
-            {
+        .withColumns({"__counts": _made_once({
                 "n_words": F.size("__w").cast("long"),
                 "word_chars": F.length(F.array_join("__w", "")).cast("long"),
                 "n_symbols": F.when(any_symbol, F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).otherwise(0).cast("long"),
@@ -126,12 +125,20 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 "n_repeat_words": F.aggregate(
                     F.transform(at, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1), p + WINDOW) - p)), F.lit(0).cast("long"), lambda a, b: a + b
                 ),
-            }
-        )
-        .drop("__t", "__trimmed", "__w", "__lines", "__h", "__win", "__ranked", "__at")
+            })})
+        .select(*docs.columns, "__counts.*")
     )
 
 
+def _made_once(columns: dict[str, Column]) -> Column:
+    """The columns as a struct that no later condition can be moved below.
+
+    A filter on plain expressions would be pushed through the projections, with every array written out again where it is
+    used. The row number holds always; an expression with one stays where it is.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, F.struct(*[c.alias(name) for name, c in columns.items()]))
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
 
 
@@ -147,10 +154,7 @@ def keep(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULE
     The input's columns are kept inside one struct meanwhile, so that none of them can clash with a count.
     """
     held = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    # A condition on plain expressions would be moved below the projections, each array expression written out where
-    # it is used; one on a row number stays above them, and every array is made once.
-    counted = with_counts(held).withColumn("__row", F.monotonically_increasing_id())
-    return counted.where(F.expr(f"__row >= 0 AND {verdict(rules)}")).select("row.*")
+    return with_counts(held).where(F.expr(verdict(rules))).select("row.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
