@@ -156,7 +156,8 @@ def test_field_agrees_with_patterns_on_held_out_words(spark, sf_dir, field):
     assert total and right / total > 0.9
 
 
-def test_field_adds_spans_that_run_together(field):
+def test_field_adds_spans_that_run_together(spark, sf_dir):
+    field = pii.fit(spark.read.parquet(f"{sf_dir.replace('0.01', '0.1')}/documents.parquet"))
     text = "call +1 (269) 555-3296 4524132264652876 now"
     (base, every), = pii.all_spans([text], field)
     assert base == [] and every == [(5, 22, 3), (23, 39, 2)]
