@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, messages
 from ..functions import text as texts
 from . import turns as turn_ops
-from .position import SMALL_LIMIT, first_n, range_bucket, with_position
+from .position import first_n, first_rows, row_tie
 from .predicates import budget, corpus_filter, token_budget
 
 
@@ -34,19 +34,23 @@ def browse_table(df: DataFrame) -> DataFrame:
     )
 
 
-def page(df: DataFrame, number: int, size: int = 50, key: str = "id", after: int | None = None) -> DataFrame:
-    """Page ``number`` (from 1) in key order; a page shorter than ``size`` is the last one.
+def page(
+    df: DataFrame, number: int, size: int = 50, key: str | Sequence[str] = "id", after: int | None = None
+) -> DataFrame:
+    """Page ``number`` (from 1) in key order, sorted; a page shorter than ``size`` is the last one.
 
-    ``after``, the last key of the page before, makes any page as cheap as the first. Without it a
-    page far in is found by position, so that its offset is not sorted on one machine.
+    Keys and ties are those of :func:`first_n`, so that the pages of any table join up. ``after``, the last key of the
+    page before (one column, unique and not NULL), makes any page as cheap as the first.
     """
     if after is not None:
         return df.filter(F.col(key) > after).orderBy(key).limit(size)
+    keys = [key] if isinstance(key, str) else list(key)
     start = (number - 1) * size
-    if start + size <= SMALL_LIMIT:
-        return df.orderBy(key).offset(start).limit(size)
-    placed = with_position(df, [F.col(key)], [range_bucket(df, key)], name="_position")
-    return placed.filter((F.col("_position") >= start) & (F.col("_position") < start + size)).drop("_position")
+    upto, rows = first_rows(df, start + size, keys)
+    order = [*[F.col(k) for k in keys], row_tie(df)]
+    # The last rows of those up to the page's end: a sort of one page, however far in it is.
+    last = upto.orderBy(*[o.desc() for o in order]).limit(max(rows - start, 0))
+    return last.orderBy(*order)
 
 
 def make_subset(
@@ -57,16 +61,17 @@ def make_subset(
     source: str | None = None,
     domain: str | None = None,
     scan_cap: int | None = None,
-    key: str = "id",
+    key: str | Sequence[str] = "id",
 ) -> DataFrame:
     """The first ``limit`` examples, in key order, that match the names and fit the token budget.
 
-    ``scan_cap`` looks at that many matching rows only, in key order.
+    A corpus without an id is taken in stored order by the keys ``("file_name", "row_index")`` of
+    ``read_corpus(order_key=True)``. ``scan_cap`` looks at that many matching rows only, in key order.
     """
     rows = df.filter(corpus_filter(source=source, domain=domain))
     if scan_cap is not None:
         rows = first_n(rows, scan_cap, key)
-    return first_n(token_budget(with_tokens(rows), max_tokens, max_assistant_tokens), limit, key, derived=True)
+    return first_n(token_budget(with_tokens(rows), max_tokens, max_assistant_tokens), limit, key)
 
 
 def make_subset_of_turns(
@@ -82,11 +87,11 @@ def make_subset_of_turns(
     """The same subset when turns are rows of their own.
 
     Conversations are chosen from their token counts; only the turns of the chosen ones are nested,
-    and their size is bounded by the budget.
+    each into one row, so that there are never more rows than ``limit``.
     """
     rows = examples.filter(corpus_filter(source=source, domain=domain))
     sized = turn_ops.with_tokens(turns, key).filter(budget(max_tokens, max_assistant_tokens))
-    chosen = first_n(rows.join(sized, key), limit, key, derived=True)
+    chosen = first_n(rows.join(sized, key), limit, key)
     return turn_ops.nest_turns(turns.join(chosen, key), key, keep=[c for c in chosen.columns if c != key])
 
 

@@ -1,10 +1,12 @@
 """Training order: exact splits, curricula over epochs, and batches."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schedule import due, lr_multiplier
-from .position import SMALL_LIMIT, first_n, hash_bucket, hash_key, hash_order, hashed_cutoff, range_bucket, with_position
+from .position import first_n, hash_bucket, hash_key, hash_order, hashed_cutoff, range_bucket, with_position
 from .predicates import missing_difficulty
 
 
@@ -34,14 +36,16 @@ def train_test_split(
 
 
 def subsample(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
-    """``n`` rows in seeded random order of their keys; all rows when there are fewer."""
-    hashed = hash_key(F.col(key), seed)
-    if n <= SMALL_LIMIT:
-        return df.orderBy(hashed).limit(n)
-    return df.filter(hashed <= hashed_cutoff(df, key, seed, F.lit(n)))
+    """The first ``n`` rows in seeded random order of their keys; all rows when there are fewer.
+
+    NULL keys and ties are those of :func:`first_n`; the order of the result is not defined.
+    """
+    hashed = df.withColumn("_hash", hash_key(F.col(key), seed))
+    return first_n(hashed, n, "_hash").drop("_hash")
 
 
-def head(df: DataFrame, n: int, key: str = "id") -> DataFrame:
+def head(df: DataFrame, n: int, key: str | Sequence[str] = "id") -> DataFrame:
+    """The first ``n`` rows in key order; see :func:`first_n`."""
     return first_n(df, n, key)
 
 

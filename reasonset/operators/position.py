@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from ..session import saved_once
 
-# Up to this many rows, a sorted limit may finish on one machine; beyond it a cut-off key is used.
-SMALL_LIMIT = 10_000
-
 # Upper bound of the number of key ranges, and with it of the values that reach the driver.
 MAX_RANGES = 1024
 
@@ -170,24 +167,81 @@ def cutoffs(
     return nth.select(*by, F.col(key).alias(name))
 
 
-def first_n(df: DataFrame, n: int | Column, key: str, by: Sequence[str] = (), derived: bool = False) -> DataFrame:
-    """The first ``n`` rows in the order of a unique numeric key, per group when ``by`` is given.
+def row_tie(df: DataFrame) -> Column:
+    """A hash of the whole row (maps excepted), which orders rows of equal keys."""
+    return F.xxhash64(*[F.col(f.name) for f in df.schema.fields if f.dataType.typeName() != "map"])
+
+
+def _key_list(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _before(keys: list[str], values: Sequence[Column]) -> tuple[Column, Column]:
+    """Whether a row's keys sort before the values, NULLs first, and whether they are the same."""
+    before, same = F.lit(False), F.lit(True)
+    for key, value in zip(keys, values):
+        smaller = F.when(F.col(key).isNull(), value.isNotNull()).otherwise(F.coalesce(F.col(key) < value, F.lit(False)))
+        before, same = before | (same & smaller), same & F.col(key).eqNullSafe(value)
+    return before, same
+
+
+def first_rows(df: DataFrame, n: int, key: str | Sequence[str]) -> tuple[DataFrame, int]:
+    """:func:`first_n` without groups, and how many rows that are.
 
-    Without groups a small ``n`` is a plain sorted limit. Otherwise a cut-off key is found from
-    the keys alone, and the rows themselves are filtered where they are, without a sort or shuffle.
-    ``derived`` says that which rows there are depends on wide columns, such as the length of a
-    text; the keys are then written once instead of being worked out for every use.
+    Rows are counted per key, so that a frequent key is one row from there on; the counted keys are written
+    in key ranges; counts per range tell which range holds the cut, and only that range is ranked.
+    One row, the cut, reaches the driver and becomes constants of a filter.
+    """
+    if n <= 0:
+        return df.limit(0), 0
+    keys = _key_list(key)
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    placed = saved_once(counted.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "keys")
+    ranges = placed.groupBy("_part").agg(F.sum("_n").alias("_rows"))
+    # One row per range, of which there are as many as shuffle partitions.
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    edge = ranges.filter((F.col("_start") < n) & (F.col("_start") + F.col("_rows") >= n)).first()
+    if edge is None:
+        return df, placed.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    inside = Window.partitionBy("_part").orderBy(*keys)
+    ranked = placed.filter(F.col("_part") == edge["_part"]).withColumn("_end", F.sum("_n").over(inside) + edge["_start"])
+    cut = ranked.filter((F.col("_end") >= n) & (F.col("_end") - F.col("_n") < n)).first()
+    values = [F.lit(cut[k]).cast(placed.schema[k].dataType) for k in keys]
+    before, same = _before(keys, values)
+    if cut["_end"] == n:
+        return df.filter(before | same), n
+    wanted, ties = n - (cut["_end"] - cut["_n"]), df.filter(same)
+    if keys == ["_tie"]:
+        # Rows alike in all columns: any of them will do.
+        return df.filter(before).unionByName(ties.limit(wanted)), n
+    some, _ = first_rows(ties.withColumn("_tie", row_tie(df)), wanted, "_tie")
+    return df.filter(before).unionByName(some.drop("_tie")), n
+
+
+def first_n(
+    df: DataFrame, n: int | Column, key: str | Sequence[str], by: Sequence[str] = (), derived: bool = False
+) -> DataFrame:
+    """The first ``n`` rows in key order, per group when ``by`` is given; their order is not defined.
+
+    Without groups ``key`` is one column or several of any types that can be sorted. NULLs come first. Rows of equal keys are
+    taken in the order of :func:`row_tie`, so that there are never more than ``n``. One plan serves every ``n``.
+
+    With groups ``key`` is a unique numeric column without NULLs, and a cut-off key per group is found. The rows
+    themselves are filtered where they are, without a sort or shuffle. ``derived`` says that which rows there are
+    depends on wide columns, such as the length of a text; the keys are then written once instead of being
+    worked out for every use.
     """
     by = list(by)
-    if not by and isinstance(n, int) and n <= SMALL_LIMIT:
-        return df.orderBy(key).limit(n)
+    if not by:
+        if not isinstance(n, int):
+            raise TypeError("without groups the number of rows is an int")
+        return first_rows(df, n, key)[0]
     take = F.lit(n) if isinstance(n, int) else n
     keys = df.select(*by, key)
     if derived:
         keys = saved_once(keys, "keys")
     cuts = cutoffs(keys, key, range_bucket(keys, key), take, by, "_cutoff")
-    if not by:
-        return df.filter(F.col(key) <= cuts.select("_cutoff").scalar())
     # One row per group, written so that its true size decides on a broadcast: the rows need not
     # be shuffled to find that out.
     cuts = saved_once(cuts.select(*[F.col(c).alias(f"_o_{c}") for c in by], "_cutoff"), "cutoffs")

@@ -13,21 +13,15 @@ from pyspark.sql import functions as F
 from ..functions import fixed, messages
 from ..functions.text import cut
 
-# Most turns that one nested row may hold.
-BLOCK_TURNS = 10_000
 
-
-def nest_turns(
-    df: DataFrame, key: str = "id", turn: str = "turn", block_turns: int = BLOCK_TURNS, keep: Sequence[str] = ()
-) -> DataFrame:
+def nest_turns(df: DataFrame, key: str = "id", turn: str = "turn", keep: Sequence[str] = ()) -> DataFrame:
     """One row of ordered messages per conversation, with the columns of ``keep``, equal in all its turns.
 
-    A conversation longer than ``block_turns`` comes as several rows, numbered in ``block``, so
-    that no single row has to hold an unbounded number of turns.
+    A conversation has to fit in a row: that is what a nested corpus stores. Figures of conversations
+    of any length come from the other functions here, which never nest them.
     """
-    block = F.floor(F.col(turn) / block_turns).alias("block")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), "role", "text")))
-    return df.groupBy(key, *keep, block).agg(
+    return df.groupBy(key, *keep).agg(
         F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("messages")
     )
 

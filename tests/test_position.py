@@ -24,13 +24,6 @@ def frame(spark, kind, n=3000):
     return rows, spark.createDataFrame(rows, "id bigint, source string, difficulty int").repartition(7)
 
 
-@pytest.fixture(autouse=True)
-def no_small_limit(monkeypatch):
-    monkeypatch.setattr(position, "SMALL_LIMIT", 0)
-    monkeypatch.setattr(ordering, "SMALL_LIMIT", 0)
-    monkeypatch.setattr(corpus, "SMALL_LIMIT", 0)
-
-
 @pytest.mark.parametrize("kind", KEYS)
 def test_position(spark, kind):
     rows, df = frame(spark, kind)
@@ -92,10 +85,40 @@ def test_deep_pages_join_up(spark):
     assert [len(p) for p in pages] == [900, 900, 900, 300, 0]
 
 
-def test_large_subsample_equals_small(spark, monkeypatch):
+def test_subsample_is_the_start_of_the_seeded_order(spark):
     _, df = frame(spark, "dense")
-    large = {r["id"] for r in ordering.subsample(df, 500).collect()}
-    monkeypatch.setattr(ordering, "SMALL_LIMIT", 10_000)
-    assert large == {r["id"] for r in ordering.subsample(df, 500).collect()}
-    assert len(large) == 500
+    order = [r["id"] for r in df.orderBy(position.hash_key(F.col("id"), 42)).collect()]
+    assert {r["id"] for r in ordering.subsample(df, 500).collect()} == set(order[:500])
     assert ordering.subsample(df, 10**6).count() == 3000
+
+
+@pytest.mark.parametrize("n", [9_999, 10_000, 10_001])
+@pytest.mark.parametrize("kind", ["null", "repeated", "text", "pair", "hot"])
+def test_one_contract_for_every_size(spark, kind, n):
+    size = 10_500
+    keys = {
+        "null": lambda i: (None if i % 3 == 0 else i, 0),
+        "repeated": lambda i: (i // 700, 0),
+        "text": lambda i: (f"k{i * 7919 % size}", 0),
+        "pair": lambda i: (i % 5, None if i % 1000 == 0 else i),
+        "hot": lambda i: (5, 0),
+    }[kind]
+    rows = [(*keys(i), i % 4) for i in range(size)]
+    dtype = "string" if kind == "text" else "bigint"
+    df = spark.createDataFrame(rows, f"a {dtype}, b bigint, x int").repartition(5)
+    found = [(r["a"], r["b"]) for r in ordering.head(df, n, ["a", "b"]).collect()]
+    low = lambda v: (v is not None, v if v is not None else 0)
+    order = lambda r: (low(r[0]) if kind != "text" else (True, r[0]), low(r[1]))
+    assert sorted(found, key=order) == sorted((r[:2] for r in rows), key=order)[:n]
+    # The choice among ties depends on the rows alone.
+    again = ordering.head(df.repartition(3), n, ["a", "b"])
+    assert again.exceptAll(ordering.head(df, n, ["a", "b"])).count() == 0
+
+
+def test_pages_of_tied_rows_join_up(spark):
+    rows = [(i % 2, i) for i in range(100)]
+    df = spark.createDataFrame(rows, "id bigint, x int")
+    pages = [corpus.page(df, p, 30).collect() for p in (1, 2, 3, 4, 5)]
+    assert [len(p) for p in pages] == [30, 30, 30, 10, 0]
+    assert sorted(tuple(r) for p in pages for r in p) == sorted(rows)
+    assert [r["id"] for p in pages for r in p] == sorted(r[0] for r in rows)

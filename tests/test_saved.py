@@ -12,6 +12,7 @@ from reasonset.plans.subsets import generate_subset, validate
 from reasonset.session import saved_once, shared_folder
 from reasonset.sinks import writers
 from reasonset.sources import results, saved
+from reasonset.sources.corpus import decode_messages, read_corpus
 from reasonset.streaming.metrics import current_metrics, log_metrics
 
 
@@ -19,7 +20,7 @@ def nested(spark, sf_dir):
     import workload.views as views
 
     examples = views.conv_examples(spark, sf_dir)
-    return examples.join(turns.nest_turns(views.marked_turns(spark, sf_dir)).drop("block"), "id")
+    return examples.join(turns.nest_turns(views.marked_turns(spark, sf_dir)), "id")
 
 
 def test_nested_and_long_forms_agree(spark, sf_dir):
@@ -44,11 +45,24 @@ def test_nested_and_long_forms_agree(spark, sf_dir):
     assert rows(chosen) == rows(of_turns) and len(rows(chosen)) == 30
 
 
-def test_long_conversations_are_split(spark):
-    df = spark.range(25).select(F.lit(1).alias("id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
-    rows = turns.nest_turns(df, block_turns=10).orderBy("block").collect()
-    assert [m["text"] for r in rows for m in r["messages"]] == [str(i) for i in range(25)]
-    assert [len(r["messages"]) for r in rows] == [10, 10, 5]
+def test_a_conversation_is_one_row(spark):
+    df = spark.range(25_000).select(F.lit(1).alias("id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    rows = turns.nest_turns(df).collect()
+    assert [[m["text"] for m in r["messages"]] for r in rows] == [[str(i) for i in range(25_000)]]
+    examples = spark.createDataFrame([(1, "s", "d", 1), (2, "s", "d", 1)], "id int, source string, domain string, difficulty int")
+    assert corpus.make_subset_of_turns(examples, df, 10**6, 1).count() == 1
+
+
+def test_corpus_without_ids(spark, tmp_path):
+    stored = [(f"s{i % 2}", "d", i % 3, [("human", f"question {i}"), ("gpt", "a" * 40)]) for i in range(40)]
+    schema = "source string, domain string, difficulty int, conversations array<struct<`from`:string,value:string>>"
+    spark.createDataFrame(stored, schema).coalesce(1).write.parquet(str(tmp_path / "corpus"))
+    df = decode_messages(read_corpus(spark, str(tmp_path / "corpus"), order_key=True))
+    stored_order = ("file_name", "row_index")
+    subset = corpus.make_subset(df, 4096, 5, source="s1", key=stored_order)
+    assert sorted(m[0]["text"] for m in (r["messages"] for r in subset.collect())) == sorted(f"question {i}" for i in (1, 3, 5, 7, 9))
+    shown = corpus.page(df.select(*stored_order, "difficulty"), 2, 15, key=stored_order).collect()
+    assert [r["row_index"] for r in shown] == list(range(15, 30))
 
 
 def test_scan_cap(spark, sf_dir):
@@ -180,7 +194,6 @@ def test_metrics_stream(spark, tmp_path):
 
 def test_order_key(spark, sf_dir):
     from reasonset.operators.position import block_bucket, with_position
-    from reasonset.sources.corpus import read_corpus
 
     df = read_corpus(spark, f"{sf_dir}/doc*.parquet", order_key=True)
     assert df.select("file_name", "row_index").distinct().count() == df.count()

@@ -254,6 +254,15 @@ def page_after(spark, sf_dir):
     return corpus.page(rows.select("id", "source", "difficulty"), 3, after=500)
 
 
+@query(
+    "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 200 OFFSET 12000"
+)
+def page_deep(spark, sf_dir):
+    # A page beyond row 10,000 of a table whose order takes two columns.
+    rows = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return corpus.page(rows, 61, 200, key=["l_orderkey", "l_linenumber"])
+
+
 @query(
     f"WITH {_TOKENS}, {CONV_EXAMPLES} SELECT id, source, domain, difficulty, total_tokens, assistant_tokens, n_messages,"
     " body FROM conv_examples JOIN tokens USING (id) WHERE total_tokens <= 700 AND assistant_tokens <= 400"

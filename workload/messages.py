@@ -21,20 +21,17 @@ def decode_messages(spark, sf_dir):
     nested = turn_ops.nest_turns(stored)
     parts = F.transform("messages", lambda m: m["text"])
     as_json = nested.withColumn("conversations", F.concat(F.lit("["), F.array_join(parts, ", "), F.lit("]")))
-    found = decode(as_json).select("id", "block", F.posexplode("messages").alias("pos", "m"))
-    turn = F.col("block") * turn_ops.BLOCK_TURNS + F.col("pos")
-    return found.select("id", turn.cast("long").alias("turn"), F.col("m.role").alias("role"), F.col("m.text").alias("text"))
+    found = decode(as_json).select("id", F.posexplode("messages").alias("turn", "m"))
+    return found.select("id", F.col("turn").cast("long").alias("turn"), F.col("m.role").alias("role"), F.col("m.text").alias("text"))
 
 
 @query(
-    "SELECT conv_id AS id, CAST(turn // 10000 AS BIGINT) AS block, count(*) AS n_messages,"
-    " string_agg(role, ',' ORDER BY turn) AS roles, string_agg(text, chr(10) ORDER BY turn) AS body"
-    " FROM conversations GROUP BY 1, 2"
+    "SELECT conv_id AS id, count(*) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles,"
+    " string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1"
 )
 def nest_turns(spark, sf_dir):
     return turn_ops.nest_turns(views.turns(spark, sf_dir)).select(
         "id",
-        "block",
         F.size("messages").cast("long").alias("n_messages"),
         F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
         F.array_join(F.transform("messages", lambda m: m["text"]), "\n").alias("body"),

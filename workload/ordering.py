@@ -49,6 +49,13 @@ def head(spark, sf_dir):
     return ordering.head(views.train(spark, sf_dir), 200).select("id")
 
 
+@query("SELECT l_shipdate, count(*) AS n FROM (SELECT l_shipdate FROM lineitem ORDER BY l_shipdate LIMIT 20000) t GROUP BY 1")
+def head_repeated(spark, sf_dir):
+    # A key with many rows each, and a limit above 10,000; how many rows of each key there are does not depend on ties.
+    rows = views.table(spark, sf_dir, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber")
+    return ordering.head(rows, 20_000, key="l_shipdate").groupBy("l_shipdate").agg(F.count("*").alias("n"))
+
+
 _EPOCHS = f"WITH {TRAIN}, epochs AS (SELECT id, difficulty, CAST(epoch AS INT) AS epoch FROM train, range({EPOCHS}) r(epoch))"
 _PLACED = _EPOCHS + " SELECT id, epoch, row_number() OVER (ORDER BY {order}) - 1 AS position FROM epochs"
 
