@@ -8,19 +8,19 @@ and would make the very passages that copies share the lightest.)
 Consistent weighted sampling draws 64 samples per text, so that two texts agree on a sample with the
 probability of their weighted Jaccard similarity. Sixteen bands of four samples give the candidates:
 
-1. Identical texts are one text from here on. What is shuffled about a text is its digest, signature and
+1. Identical texts are one text from here on. What is shuffled about a text is its digest, total weight and
    bands, never its words.
 2. In each bucket every member is paired with one leader, picked by a hash that differs from bucket to
-   bucket; pairs whose signatures agree in less than ``ESTIMATE`` are dropped, the others verified by the exact
-   weighted Jaccard similarity. Verified pairs give classes.
-3. Buckets that still hold several classes are compared member by member across classes, signature against
-   signature, in blocks of bounded size, each pair in the first band that it shares. The texts of members that agree across classes
-   are brought to the block and verified there, the likeliest first, until the block's classes are joined or nothing is
-   left; only links leave the task. So every pair that shares a bucket is linked by its class, or compared; a bucket of
-   many copies of one thing costs one pair per member.
+   bucket, and the pairs are verified by the exact weighted Jaccard similarity. Verified pairs give classes.
+3. Buckets that still hold several classes are compared member by member across classes in blocks of bounded size,
+   each pair in the first band that it shares. The texts of members that have someone to be compared with are brought to
+   the block and verified there until the block's classes are joined or nothing is left; only links leave the task. So
+   every pair that shares a bucket is linked by its class, or compared; a bucket of many copies of one thing costs one
+   pair per member.
 
-Agreement of 64 samples below 0.65 at a similarity of 0.8 or more lies three standard deviations away, sharing no
-band of sixteen has a probability of 0.0002 at 0.8 and less above.
+Pairs are left out before the texts are compared only where they cannot be similar: the similarity of two weighted
+sets is at most the lesser total weight over the greater. No estimate from the samples drops a pair, so that what is lost
+is what banding loses: sharing no band of sixteen has a probability of 0.0002 at 0.8 and less above.
 
 Defined results: a null text counts as an empty one; texts without words belong to no group; texts of one to
 four words are one shingle; identical texts with a word are always in one class; a class id is the smallest document
@@ -46,7 +46,7 @@ from .components import components
 
 WORDS, BANDS, ROWS = 5, 16, 4
 SAMPLES = BANDS * ROWS
-THRESHOLD, ESTIMATE = 0.8, 0.65
+THRESHOLD = 0.8
 BUCKETS = 1 << 16
 BLOCK, BLOCK_BYTES = 512, 8 << 20
 FILTER_WORDS = 1 << 17
@@ -197,69 +197,86 @@ def _sign(rarity):
                     continue
                 prints = sampler.sample(shingles, weights)
                 digest = hashlib.md5(column[i].as_buffer(), usedforsecurity=False).digest()
-                rows.append((doc_id, digest, (prints >> _U(48)).astype("<u2").tobytes(), _bands(prints).astype(np.int64).tolist(), len(column[i].as_buffer())))
-            ids, digests, signatures, bands, sizes = zip(*rows)
+                rows.append((doc_id, digest, float(weights.sum(dtype=np.float64)), _bands(prints).astype(np.int64).tolist(), len(column[i].as_buffer())))
+            ids, digests, totals, bands, sizes = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
-                ["doc_id", "tid", "sig", "bands", "size"],
+                [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(totals, pa.float64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
+                ["doc_id", "tid", "weight", "bands", "size"],
             )
 
     return run
 
 
 def signatures(docs: DataFrame, rarity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, digest of the text (``tid``), signature, band keys, bytes of the text; all but the id null without words."""
-    return _texts(docs, id_col, text_col).mapInArrow(_sign(rarity), "doc_id long, tid binary, sig binary, bands array<bigint>, size long")
+    """Per row: id, digest of the text (``tid``), total weight, band keys, bytes of the text; all but the id null without words."""
+    return _texts(docs, id_col, text_col).mapInArrow(_sign(rarity), "doc_id long, tid binary, weight double, bands array<bigint>, size long")
 
 
-def _agreement(left: pa.Array, right: pa.Array) -> np.ndarray:
-    of = lambda x: np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(len(x), SAMPLES)
-    return (of(left) == of(right)).mean(1) if len(left) else np.zeros(0)
+#: Two weights whose ratio is this much below the threshold by rounding alone are still compared.
+_ROUNDING = 1 - 1e-6
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, sig_a, sig_b), the pairs whose signatures agree."""
-    for batch in batches:
-        close = _agreement(batch.column(2), batch.column(3)) >= ESTIMATE
-        yield batch.select([0, 1]).filter(pa.array(close))
-
-
-def _candidates(members: list[dict], band: int, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block with itself (i = j) or with another: places x, y of members of different classes whose signatures
-    agree and that share no earlier band, how much they agree, and the classes of all members."""
-    sig = np.frombuffer(b"".join(m["sig"] for m in members), "<u2").reshape(-1, SAMPLES)
+def _candidates(members: list[dict], band: int, i: int, j: int, threshold: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of a block with itself (i = j) or with another: for each place the later places of other classes that share no
+    earlier band and whose weights allow the threshold, and the classes of all members."""
+    bands = np.array([m["bands"] for m in members], np.int64).reshape(-1, BANDS)
+    weight = np.array([m["weight"] for m in members])
     block = np.array([m["block"] for m in members])
     names: dict[bytes, int] = {}
     cls = np.array([names.setdefault(m["component"], len(names)) for m in members])
-    every, xs, ys, shares = np.arange(len(members)), [], [], []
+    every, found = np.arange(len(members)), []
     for x in range(len(members)):
-        others = np.flatnonzero((cls != cls[x]) & ((block > block[x]) if i != j else (every > x)))
-        if not len(others):
-            continue
-        same = sig[others] == sig[x]
-        share = same.mean(1)
-        earlier = same.reshape(len(others), BANDS, ROWS)[:, :band].all(2).any(1)
-        close = (share >= ESTIMATE) & ~earlier
-        xs.append(np.full(close.sum(), x))
-        ys.append(others[close])
-        shares.append(share[close])
-    flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return flat(xs, np.int64), flat(ys, np.int64), flat(shares, np.float64), cls
+        able = np.minimum(weight, weight[x]) >= threshold * _ROUNDING * np.maximum(weight, weight[x])
+        others = np.flatnonzero((cls != cls[x]) & ((block > block[x]) if i != j else (every > x)) & able)
+        found.append(others[~(bands[others, :band] == bands[x, :band]).any(1)])
+    return found, cls
 
 
 _PLACE = "key long, band int, i int, j int"
+_MEMBER = "block int, tid binary, component binary, weight double, bands array<bigint>"
+
+
+def _comparable(threshold: float):
+    """The members of blocks that are to be compared with a member of another class."""
+    place = [("key", pa.int64()), ("band", pa.int32()), ("i", pa.int32()), ("j", pa.int32())]
+    schema = pa.schema(place + [("block", pa.int32()), ("tid", pa.binary()), ("component", pa.binary()), ("weight", pa.float64()), ("bands", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for n in range(batch.num_rows):
+                row = batch.slice(n, 1).to_pylist()[0]
+                members = row.pop("members")
+                found, _ = _candidates(members, row["band"], row["i"], row["j"], threshold)
+                needed = np.unique(np.concatenate([np.append(others, x) for x, others in enumerate(found) if len(others)] or [np.zeros(0, np.int64)]))
+                rows += [{**row, **members[k]} for k in needed.tolist()]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return run
+
+
+class Block:
+    """The weighted sets of some texts, laid out so that one is compared with all at once."""
 
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]]):
+        self.totals = np.array([w.sum(dtype=np.float64) for _, w in vectors])
+        self.cuts = np.concatenate([[0], np.cumsum([len(h) for h, _ in vectors])])
+        _, self.at = np.unique(np.concatenate([h for h, _ in vectors]), return_inverse=True)
+        self.weights = np.concatenate([w for _, w in vectors])
+        # A shingle of one text alone is in no intersection.
+        shared = np.bincount(self.at)[self.at] > 1
+        self.owner = np.repeat(np.arange(len(vectors)), np.diff(self.cuts))[shared]
+        self.cuts = np.concatenate([[0], np.cumsum(shared)])[self.cuts]
+        self.at, self.weights = self.at[shared], self.weights[shared]
+        self.row = np.zeros(int(self.at.max()) + 1 if len(self.at) else 0, np.float32)
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members of blocks that agree with a member of another class."""
-    schema = pa.schema([("key", pa.int64()), ("band", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("tid", pa.binary()), ("component", pa.binary()), ("sig", pa.binary())])
-    for batch in batches:
-        rows = []
-        for row in batch.to_pylist():
-            members = row.pop("members")
-            x, y, _, _ = _candidates(members, row["band"], row["i"], row["j"])
-            rows += [{**row, **members[k]} for k in np.unique(np.concatenate([x, y])).tolist()]
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+    def alike(self, x: int, others: np.ndarray, threshold: float) -> np.ndarray:
+        """Those of the others whose weighted Jaccard similarity to x reaches the threshold."""
+        own = slice(self.cuts[x], self.cuts[x + 1])
+        self.row[self.at[own]] = self.weights[own]
+        common = np.bincount(self.owner, np.minimum(self.row[self.at], self.weights), len(self.totals))[others]
+        self.row[self.at[own]] = 0
+        return others[common >= threshold * (self.totals[x] + self.totals[others] - common)]
 
 
 def _link_blocks(rarity, threshold: float):
@@ -271,28 +288,20 @@ def _link_blocks(rarity, threshold: float):
             for n in range(batch.num_rows):
                 row = batch.slice(n, 1).to_pylist()[0]
                 members = row["members"]
-                x, y, share, cls = _candidates(members, row["band"], row["i"], row["j"])
-                vectors: dict[int, tuple] = {}
-                root = list(range(int(cls.max()) + 1))
-
-                def top(c: int) -> int:
-                    while root[c] != c:
-                        root[c] = root[root[c]]
-                        c = root[c]
-                    return c
-
-                def vector(k: int):
-                    if k not in vectors:
-                        vectors[k] = weighted_shingles(word_hashes(pa.array([members[k]["text"]]))[0], rarity.value)
-                    return vectors[k]
-
-                for k in np.argsort(-share, kind="stable").tolist():
-                    p, q = int(x[k]), int(y[k])
-                    one, two = top(cls[p]), top(cls[q])
-                    if one != two and alike(vector(p), vector(q), threshold):
-                        root[one] = two
-                        a.append(members[p]["tid"])
-                        b.append(members[q]["tid"])
+                found, cls = _candidates(members, row["band"], row["i"], row["j"], threshold)
+                root = cls.copy()  # per member the class that it has been joined to
+                sets = None
+                for x, others in enumerate(found):
+                    others = others[root[others] != root[x]]
+                    if not len(others):
+                        continue
+                    if sets is None:
+                        sets = Block([weighted_shingles(word_hashes(pa.array([m["text"]]))[0], rarity.value) for m in members])
+                    for y in sets.alike(x, others, threshold).tolist():
+                        if root[y] != root[x]:
+                            root[root == root[y]] = root[x]
+                            a.append(members[x]["tid"])
+                            b.append(members[y]["tid"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return run
@@ -380,28 +389,29 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     # Identical texts become one, named by its smallest document id.
     firsts = signed.where("tid IS NOT NULL").groupBy("tid").agg(F.min("doc_id").alias("doc_id"))
     unique = signed.where("tid IS NOT NULL").dropDuplicates(["tid", "doc_id"]).join(firsts.withColumnRenamed("doc_id", "first"), "tid").where(F.col("doc_id").eqNullSafe(F.col("first")))
-    members = unique.select("tid", "doc_id", "sig", "size", F.posexplode("bands").alias("band", "key"))
+    members = unique.select("tid", "doc_id", "weight", "bands", "size", F.posexplode("bands").alias("band", "key"))
     shared_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     members = saved_once(members.join(shared_keys, "key"), "buckets")
     texts = saved_once(_needed_texts(docs, members.select("tid", "doc_id").distinct(), id_col, text_col), "texts")
 
-    leaders = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("tid", "key").alias("o"), F.col("tid").alias("a"), F.col("sig").alias("sig_a"))).alias("x")).select("key", "x.a", "x.sig_a")
-    led = members.join(leaders, "key").where("tid <> a").select("a", F.col("tid").alias("b"), "sig_a", F.col("sig").alias("sig_b"))
-    pairs = _ordered(led.mapInArrow(_alike, "a binary, b binary"))
+    leaders = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("tid", "key").alias("o"), F.col("tid").alias("a"), F.col("weight").alias("weight_a"))).alias("x")).select("key", "x.a", "x.weight_a")
+    able = F.least("weight", "weight_a") >= threshold * _ROUNDING * F.greatest("weight", "weight_a")
+    pairs = _ordered(members.join(leaders, "key").where((F.col("tid") != F.col("a")) & able).select("a", F.col("tid").alias("b")))
     links = saved_once(_verified(pairs, texts, rarity, threshold), "links")
     classes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # Buckets in which several classes meet, block against block.
-    placed = members.join(classes.withColumnRenamed("node", "tid"), "tid", "left").select("key", "band", "n", "bytes", "tid", "sig", F.coalesce("component", "tid").alias("component"))
+    placed = members.join(classes.withColumnRenamed("node", "tid"), "tid", "left").select("key", "band", "n", "bytes", "tid", "weight", "bands", F.coalesce("component", "tid").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
     dealt = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("tid", F.lit(1)), blocks).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     at = ["key", "band", "i", "j"]
-    dealt = dealt.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "tid", "component", "sig")
-    met = dealt.groupBy(*at).agg(F.collect_list(F.struct("block", "tid", "component", "sig")).alias("members"))
-    agreeing = met.mapInArrow(_agreeing, f"{_PLACE}, block int, tid binary, component binary, sig binary")
-    met = agreeing.join(texts, "tid").groupBy(*at).agg(F.collect_list(F.struct("block", "tid", "component", "sig", "text")).alias("members"))
+    member = ["block", "tid", "component", "weight", "bands"]
+    dealt = dealt.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *member)
+    met = dealt.groupBy(*at).agg(F.collect_list(F.struct(*member)).alias("members"))
+    comparable = met.mapInArrow(_comparable(threshold), f"{_PLACE}, {_MEMBER}")
+    met = comparable.join(texts, "tid").groupBy(*at).agg(F.collect_list(F.struct(*member, "text")).alias("members"))
     more = saved_once(met.mapInArrow(_link_blocks(rarity, threshold), "a binary, b binary").distinct(), "links")
     every = links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
     final = components(every) if more.limit(1).count() else classes
