@@ -381,8 +381,8 @@ def _needed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
     return sifted.join(wanted, sifted.tid.eqNullSafe(wanted.tid) & sifted.doc_id.eqNullSafe(wanted.doc_id), "left_semi").dropDuplicates(["tid"]).select("tid", "text")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id`` and ``class_id``."""
+def _linked(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signatures of all rows, the smallest id of each text, and (node, component) of the texts with a near duplicate."""
     spark = docs.sparkSession
     rarity = spark.sparkContext.broadcast(word_rarity(docs, text_col))
     signed = saved_once(signatures(docs, rarity, id_col, text_col), "signatures")
@@ -414,8 +414,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     met = comparable.join(texts, "tid").groupBy(*at).agg(F.collect_list(F.struct(*member, "text")).alias("members"))
     more = saved_once(met.mapInArrow(_link_blocks(rarity, threshold), "a binary, b binary").distinct(), "links")
     every = links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    final = components(every) if more.limit(1).count() else classes
+    return signed, firsts, components(every) if more.limit(1).count() else classes
+
+
+def linked_texts(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(tid, component): the class of each text, by its digest, that has a near duplicate with another text."""
+    return _linked(docs, threshold, id_col, text_col)[2].select(F.col("node").alias("tid"), "component")
 
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``doc_id`` and ``class_id``."""
+    signed, firsts, final = _linked(docs, threshold, id_col, text_col)
     named = firsts.join(final.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "doc_id", F.coalesce("component", "tid").alias("component"))
     ids = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     of_text = named.join(ids, "component").select("tid", "class_id")

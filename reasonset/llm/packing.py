@@ -5,6 +5,9 @@ duplicate cluster. A bin carries a bitmap of its sources and one of its clusters
 in them. A document goes into the tightest bin that has room, and on to the next larger as long as the bitmaps clash;
 without one it opens a bin. Longer documents come first.
 
+A duplicate cluster is a class of near duplicates where ``clusters`` gives the class of the text, as in the registered query,
+and otherwise the exact text.
+
 Documents are dealt by a hash to groups of about ``group_rows``, which are packed independently: a group is
 what one task holds at a time, of bounded size whatever the data or its skew. Only ids, lengths, sources and
 clusters are shuffled. A document longer than the capacity is cut into pieces; full pieces are bins of their own and
@@ -25,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .near_dup import linked_texts
 
 CAPACITY, GROUP_ROWS = 32_768, 4096
 
@@ -82,11 +86,12 @@ def _pack_group(capacity: int):
 
 
 def pack(
-    docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", length: Column | None = None, source: Column | None = None, cluster: Column | None = None
+    docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", length: Column | None = None, source: Column | None = None, cluster: Column | None = None, clusters: DataFrame | None = None
 ) -> DataFrame:
     """One row per piece: ``doc_id``, ``piece``, its bin (``bin_group``, ``bin``), ``start`` in the bin and ``length``.
 
-    The length is by default the bytes of the text, tokens of a byte vocabulary; the cluster a hash of the text.
+    The length is by default the bytes of the text, tokens of a byte vocabulary; the cluster a hash of the text. Texts with a
+    row in ``clusters`` (``tid``, their MD5, and ``component``) have the component as their cluster instead.
     """
     length = F.octet_length(F.coalesce("text", F.lit(""))) if length is None else length
     source = F.xxhash64("source") if source is None else F.xxhash64(source)
@@ -97,7 +102,11 @@ def pack(
         F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("length"),
         F.when(named.isNotNull(), source).alias("source"),
         F.when(F.octet_length(F.coalesce("text", F.lit(""))) > 0, cluster).alias("cluster"),
+        *([] if clusters is None else [F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tid")]),
     )
+    if clusters is not None:
+        near = F.when(F.col("cluster").isNotNull(), F.coalesce(F.when(F.col("component").isNotNull(), F.xxhash64("component")), "cluster"))
+        rows = rows.join(clusters.select("tid", "component"), "tid", "left").select("doc_id", "length", "source", near.alias("cluster"))
     groups = max(1, math.ceil(docs.count() / group_rows))
     # The hash takes all that is known of a row, so that rows of one id or source are spread.
     dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "length", "cluster"), F.lit(groups)).cast("int"))
@@ -105,4 +114,5 @@ def pack(
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs, clusters=linked_texts(docs))

@@ -302,6 +302,18 @@ def test_pack(spark):
 # Pipeline
 
 
+def test_packing_keeps_near_duplicates_apart(spark, family, tmp_path):
+    rows = [(*r[:2], f"source {n}") for n, r in enumerate(family)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    cls = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs).collect()}
+    placed = packing.op8_packing(spark, str(tmp_path)).collect()
+    assert collections.Counter(r["doc_id"] for r in placed if not r["piece"]) == collections.Counter(r[0] for r in rows)
+    empty = {r[0] for r in rows if not r[1]}
+    held = collections.Counter((r["bin_group"], r["bin"], cls[r["doc_id"]]) for r in placed if r["doc_id"] not in empty)
+    assert set(held.values()) == {1}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from pyspark.sql import functions as F
