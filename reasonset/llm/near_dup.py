@@ -422,25 +422,30 @@ def linked_texts(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     return _linked(docs, threshold, id_col, text_col)[2].select(F.col("node").alias("tid"), "component")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id`` and ``class_id``."""
+def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: ``doc_id``, ``tid``, ``class_id``, and the text (``kept``) of the class's smallest id and digest."""
     signed, firsts, final = _linked(docs, threshold, id_col, text_col)
     named = firsts.join(final.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "doc_id", F.coalesce("component", "tid").alias("component"))
-    ids = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    of_text = named.join(ids, "component").select("tid", "class_id")
+    ids = named.groupBy("component").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tid"))).alias("x"))
+    of_text = named.join(ids, "component").select("tid", F.col("x.doc_id").alias("class_id"), F.col("x.tid").alias("kept"))
     rows = signed.select("doc_id", "tid")
-    grouped_rows = rows.where("tid IS NOT NULL").join(of_text, "tid").select("doc_id", "class_id")
-    return grouped_rows.union(rows.where("tid IS NULL").select("doc_id", F.col("doc_id").alias("class_id")))
+    grouped_rows = rows.where("tid IS NOT NULL").join(of_text, "tid").select("doc_id", "tid", "class_id", "kept")
+    return grouped_rows.union(rows.where("tid IS NULL").select("doc_id", "tid", F.col("doc_id").alias("class_id"), F.col("tid").alias("kept")))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``doc_id`` and ``class_id``."""
+    return _classes(docs, threshold, id_col, text_col).select("doc_id", "class_id")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near duplicates: of each class the row with the smallest id stays.
 
-    Rows without an id stay. Repeated rows of the smallest id leave one; where rows of one id differ, the id
-    must be in no class but its own to stay.
+    Rows without an id stay. Repeated rows of the smallest id leave one; of different texts of one class under that
+    id the one with the smallest digest stays. Rows of one id whose texts are in different classes are judged one by one.
     """
-    classes = saved_once(near_duplicates(docs, threshold, id_col, text_col), "classes")
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
+    classes = saved_once(_classes(docs, threshold, id_col, text_col), "classes")
+    gone = classes.where("doc_id <> class_id OR doc_id IS NOT NULL AND tid <> kept").select(F.col("doc_id").alias("__gone"), F.col("tid").alias("__tid")).distinct()
     # A bitmap of fixed size tells in the scan which rows cannot be meant; only the others are shuffled to be sure.
     number = F.col(id_col).cast("long")
     bitmap = _bitmap(gone.select(_slot(F.col("__gone")).alias("s"))).withColumnRenamed("w", "__w").withColumnRenamed("bits", "__bits")
@@ -448,7 +453,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     marked = docs.join(F.broadcast(bitmap), F.floor(slot / 64) == F.col("__w"), "left")
     meant = F.coalesce(F.getbit("__bits", F.pmod(slot, F.lit(64)).cast("int")) == 1, F.lit(False))
     clear = marked.where(~meant).select(docs["*"])
-    left = clear.unionByName(marked.where(meant).select(docs["*"]).join(gone, number == F.col("__gone"), "left_anti"))
+    left = clear.unionByName(marked.where(meant).select(docs["*"]).join(gone, (number == F.col("__gone")) & (F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))) == F.col("__tid")), "left_anti"))
     again = classes.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again")
     if not again.limit(1).count():
         return left

@@ -175,6 +175,20 @@ def test_links_of_texts_whose_samples_agree_little(spark):
     assert missed == []
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    """A row is judged by its own text, whatever other rows have its id."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    copied, alone, family = (" ".join(word() for _ in range(200)) for _ in range(3))
+    rows = [(1, copied), (2, copied), (2, alone), (3, family), (3, family + " end"), (4, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [tuple(r) for r in near_dup.one_of_each(docs).collect()]
+    assert {(1, copied), (2, alone), (4, ""), (4, None)} <= set(left)
+    assert (2, copied) not in left
+    assert len([r for r in left if r[0] == 3]) == 1
+    assert len(left) == 5
+
+
 def test_weighted_sampling_estimates_similarity():
     rng = np.random.default_rng(7)
     sampler = near_dup.Sampler(2048)
