@@ -27,5 +27,12 @@ def test_matches_sql(spark, con, sf_dir, name):
     assert oracle.differences(df, con, SQL[name]) == []
 
 
+def test_samples_are_numbered_in_buckets(spark, sf_dir):
+    """No problem's samples pass through one window task."""
+    plan = QUERIES["sample_verdict"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    numbered = plan.split("row_number() windowspecdefinition(")[1:]
+    assert numbered and all(x.startswith("_bucket") for x in numbered)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -1,9 +1,8 @@
 """Scoring of samples, and rewards."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from reasonset.operators import rewards, scoring
+from reasonset.operators import position, rewards, scoring
 
 from . import views
 from .registry import query
@@ -59,8 +58,7 @@ _VERDICT = f"""WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY o_ord
 @query(_VERDICT)
 def sample_verdict(spark, sf_dir):
     orders = views.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("problem"))
-    in_problem = Window.partitionBy("problem").orderBy("o_orderkey")
-    numbered = orders.withColumn("sample", (F.row_number().over(in_problem) - 1).cast("long"))
+    numbered = position.with_position(orders, [F.col("o_orderkey")], [position.range_bucket(orders, "o_orderkey")], by=["problem"], name="sample")
     samples = numbered.select("problem", "sample")
     kinds = samples.select("problem").distinct()
     tests = kinds.select("problem", F.explode(F.sequence(F.lit(1), F.length("problem") % 3 + 1)).alias("test"))
