@@ -81,8 +81,8 @@ class Codes:
         start = at // RANK_BITS
         counts = np.concatenate([[0], np.cumsum(np.bitwise_count(self.bitmaps[level]), dtype=np.int64)]) if len(at) > RANK_BITS else None
         whole = at >> 3
-        if counts is not None:  # for many places one running count of the bytes serves all
-            before = counts[whole]
+        if counts is not None:  # for many places one running count of the bytes gives the ones inside all the 512 bits
+            before = self.ranks[level][start].astype(np.int64) + counts[whole] - counts[start * (RANK_BITS // 8)]
         else:
             bits = self.bitmaps[level]
             before = np.array([int(self.ranks[level][s]) + int(np.bitwise_count(bits[s * RANK_BITS // 8 : w]).sum()) for s, w in zip(start, whole)], np.int64)

@@ -195,3 +195,12 @@ def test_personal_data_without_training_rows(spark):
     plain = spark.createDataFrame([(1, "no numbers", "s", "", "", "", "")], SCHEMA)
     assert pii.fit(plain) is None
     assert hashlib.sha256(pii.find(plain, None).first()["base"].encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def test_bulk_reads_use_the_rank_directory():
+    ids = np.random.default_rng(4).integers(0, 49_000, 20_000).astype(np.uint32)
+    codes = token_store.Codes.of(ids)
+    assert (codes.at(np.arange(len(ids))) == ids).all()
+    codes.ranks[0][5] -= 1
+    wrong = np.flatnonzero(codes.at(np.arange(len(ids))) != ids)
+    assert len(wrong) and set(wrong // token_store.RANK_BITS) == {5}
