@@ -16,6 +16,7 @@ equal ids stay separate, ordered by a hash of their texts and then the texts; an
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,7 +31,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from reasonset.session import shared_folder
 
 from .common import small_batches, table
-from .word_memo import LIMIT, WordMemo, word_pieces
+from .word_memo import LibraryTexts, WordMemo, WordPieces, supported
 
 BLOCK_IDS = 1 << 18
 RANK_BITS = 512
@@ -100,35 +101,27 @@ def _joined_words(pieces: list[str], bare: Tokenizer, ends: np.ndarray, dtype: n
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> WordMemo:
-    """Encodes with the tokenizers library; pieces that words share are encoded once."""
-    prepared = word_pieces(path)
-    full, model = prepared.tokenizer, prepared.spec["model"]
-    vocabulary = model["vocab"]
-    bare = Tokenizer(models.BPE(vocab=vocabulary, merges=[tuple(m) for m in model["merges"]], end_of_word_suffix=prepared.suffix, cache_capacity=0))
+def library_encoder(path: str) -> WordMemo | LibraryTexts:
+    """Encodes with the tokenizers library; pieces that chunks share are encoded once per call."""
+    if not supported(json.loads(open(path, encoding="utf-8").read())):
+        return LibraryTexts(path)
+    prepared = WordPieces(path)
+    vocabulary, merges = prepared.model["vocab"], [tuple(m) for m in prepared.model["merges"]]
+    bare = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, end_of_word_suffix=prepared.suffix, cache_capacity=0))
     bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-    dtype = np.dtype("<u2" if full.get_vocab_size() <= 1 << 16 else "<u4")
-    ends = np.zeros(full.get_vocab_size(), bool)
+    size = max([*vocabulary.values(), *prepared.added.values()]) + 1
+    dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+    ends = np.zeros(size, bool)
     ends[[i for token, i in vocabulary.items() if token.endswith(prepared.suffix)]] = True
-    known: dict[str, bytes] = {}
-
-    def resolve(words) -> dict[str, bytes]:
-        if len(known) > LIMIT:
-            known.clear()
-        out, cut = {}, {}
-        for word in words:
-            if prepared.added_cut and prepared.added_cut.search(word):
-                out[word] = np.array(full.encode(word, add_special_tokens=False).ids, dtype).tobytes()
-            else:
-                cut[word] = prepared.pieces(word)
-        new = list({p for found in cut.values() for p in found}.difference(known))
-        if new:
-            known.update(_joined_words(new, bare, ends, dtype))
-        for word, found in cut.items():
-            out[word] = known[found[0]] if len(found) == 1 else b"".join(map(known.__getitem__, found))
-        return out
+    prepared.model = None  # as large as the encoder, and not needed any more
+
+    def resolve(words: list[str]) -> list[bytes]:
+        cut = [prepared.parts(word) for word in words]
+        new = list({p for found in cut for p in found if isinstance(p, str)})
+        known = _joined_words(new, bare, ends, dtype) if new else {}
+        return [b"".join([known[p] if isinstance(p, str) else dtype.type(p).tobytes() for p in found]) for found in cut]
 
-    return WordMemo(resolve, dtype.str)
+    return WordMemo(resolve, dtype.str, list(prepared.added))
 
 
 def _write_part(path: str, end_id: int | None, block_ids: int):
@@ -151,7 +144,7 @@ def _write_part(path: str, end_id: int | None, block_ids: int):
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         for batch in small_batches(batches, "text"):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
                 if n and n + len(ids) > block_ids:
                     yield flush()

@@ -1,6 +1,7 @@
 """Quality rules, tokens and personal data against brute force, with nulls, empty, long, repeated and odd texts."""
 
 import collections
+import json
 import hashlib
 import random
 import re
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from reasonset.llm import forced_bpe, pii, quality, token_store  # noqa: E402
+from reasonset.llm import forced_bpe, pii, quality, token_store, word_memo  # noqa: E402
 from reasonset.session import shared_folder  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
@@ -72,6 +73,7 @@ def test_tokens_agree_with_the_library(spark, docs, rows):
     encoded = {(r[0], r[1]): library.encode(r[1] or "", add_special_tokens=False).ids for r in rows}
     decoded = forced_bpe.decode(forced_bpe.encode(docs, PATH), PATH).collect()
     assert len(decoded) == len(rows)
+    assert sorted(map(repr, forced_bpe.round_trip(docs, PATH).collect())) == sorted(map(repr, decoded))
     texts = {r[0]: r[1] for r in rows}
     for r in decoded:
         ids = encoded[r["doc_id"], texts[r["doc_id"]]]
@@ -113,6 +115,42 @@ def test_forced_cuts_never_change_the_result():
         assert list(ids) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_chunks_cut_as_the_library_does():
+    """One text at a time, so that an added token in one does not keep the others from being cut finely."""
+    random.seed(6)
+    parts = ["it's", "'s", "!'s", "A1b2", "x\u00a0y", "\u2003", "\x1c", "\x85", "é", "=\u0338", "H\u0331", "I\u0307", "İ", "ſ", "\u212a", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|startoftext|>b", " ", "\n", "\x00", "é,", "𝄞", "1,000.50", "Σ", "'", "''ll", "\u200b", "\u3000"]
+    library = Tokenizer.from_file(PATH)
+    for encoder in (token_store.library_encoder(PATH), forced_bpe.forced_encoder(PATH)):
+        for _ in range(1500):
+            text = "".join(random.choices(parts, k=random.randint(0, 12)))
+            assert list(encoder.encode([text])[0]) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_memory_is_bounded_and_changes_nothing():
+    encoder = forced_bpe.forced_encoder(PATH)
+    small = word_memo.WordMemo(encoder.resolve, "<u4", ["<|endoftext|>", "<|startoftext|>"], generation=100_000)
+    random.seed(7)
+    texts = [" ".join("".join(random.choices("abcde", k=random.choice([1, 2, 7]))) for _ in range(200)) for _ in range(60)]
+    for k in range(0, 60, 5):
+        assert [list(x) for x in small.encode(texts[k : k + 5])] == [list(x) for x in encoder.encode(texts[k : k + 5])]
+        assert len(small.young) + len(small.old) < 2 * (100_000 // word_memo.ENTRY + 2)
+    assert b"a" in small.young or b"a" in small.old
+    assert small.encode([]) == [] and [len(x) for x in small.encode(["", " "])] == [0, 0]
+
+
+def test_other_tokenizers(tmp_path):
+    """A file that writes words in another way goes through the library whole, and has no forced cuts."""
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["normalizer"] = None
+    path = str(tmp_path / "other.json")
+    open(path, "w", encoding="utf-8").write(json.dumps(spec))
+    library = Tokenizer.from_file(path)
+    for text, ids in zip(odd_texts(), token_store.library_encoder(path).encode(odd_texts())):
+        assert list(ids) == library.encode(text, add_special_tokens=False).ids
+    with pytest.raises(ValueError):
+        forced_bpe.forced_encoder(path)
+
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
