@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, messages
 from ..functions import text as texts
+from ..session import saved_once
 from . import turns as turn_ops
-from .position import first_n, first_rows, row_tie
+from .position import FEW, first_n, first_rows, row_tie
 from .predicates import budget, corpus_filter, token_budget
 
 
@@ -22,10 +23,10 @@ def with_tokens(df: DataFrame) -> DataFrame:
     )
 
 
-def browse_table(df: DataFrame) -> DataFrame:
-    """What a browsing page shows of each example."""
+def browse_table(df: DataFrame, key: str | Sequence[str] = "id") -> DataFrame:
+    """What a browsing page shows of each example, behind the key columns that name it."""
     return df.select(
-        "id",
+        *([key] if isinstance(key, str) else key),
         "difficulty",
         F.coalesce("source", F.lit(fixed.NOT_AVAILABLE)).alias("source"),
         F.coalesce("domain", F.lit(fixed.NOT_AVAILABLE)).alias("domain"),
@@ -46,8 +47,10 @@ def page(
         return df.filter(F.col(key) > after).orderBy(key).limit(size)
     keys = [key] if isinstance(key, str) else list(key)
     start = (number - 1) * size
-    upto, rows = first_rows(df, start + size, keys)
     order = [*[F.col(k) for k in keys], row_tie(df)]
+    if start + size <= FEW:
+        return df.orderBy(*order).offset(start).limit(size)
+    upto, rows = first_rows(df, start + size, keys)
     # The last rows of those up to the page's end: a sort of one page, however far in it is.
     last = upto.orderBy(*[o.desc() for o in order]).limit(max(rows - start, 0))
     return last.orderBy(*order)
@@ -71,7 +74,7 @@ def make_subset(
     rows = df.filter(corpus_filter(source=source, domain=domain))
     if scan_cap is not None:
         rows = first_n(rows, scan_cap, key)
-    return first_n(token_budget(with_tokens(rows), max_tokens, max_assistant_tokens), limit, key)
+    return first_n(token_budget(with_tokens(rows), max_tokens, max_assistant_tokens), limit, key, derived=True)
 
 
 def make_subset_of_turns(
@@ -95,7 +98,7 @@ def make_subset_of_turns(
     return turn_ops.nest_turns(turns.join(chosen, key), key, keep=[c for c in chosen.columns if c != key])
 
 
-def subset_per_source(df: DataFrame, n: int, key: str = "id", by: Sequence[str] = ("source",)) -> DataFrame:
+def subset_per_source(df: DataFrame, n: int, key: str | Sequence[str] = "id", by: Sequence[str] = ("source",)) -> DataFrame:
     """The first ``n`` rows of every source, all sources in one job."""
     return first_n(df, n, key, by)
 
@@ -124,6 +127,37 @@ def subset_sweep(df: DataFrame, requests: Sequence[dict], key: str = "id") -> Da
     return first_n(spread, F.col("limit"), key, by=["request", "limit"], derived=True)
 
 
+def subset_sweep_of(df: DataFrame, requests: DataFrame, key: str = "id") -> DataFrame:
+    """One subset per row of a table of requests (``request``, ``wanted_source``, ``max_tokens``, ``limit``).
+
+    The budgets of a source cut token counts into intervals; an interval of rows fits a run of the source's requests. Of
+    every interval only as many first rows are kept as the largest limit of its run, so that what meets the requests is bounded by them and not
+    by the table. No request is part of the plan, and no row meets all requests. ``all`` stands for every source.
+    """
+    asked = saved_once(requests.where("`limit` > 0").select("request", "wanted_source", "max_tokens", "limit"), "requests")
+    # Budgets per source, ascending, each with the largest limit of those that are not below it.
+    levels = asked.groupBy("wanted_source", "max_tokens").agg(F.max("limit").alias("_most"))
+    upward = Window.partitionBy("wanted_source").orderBy(F.desc("max_tokens"))
+    levels = levels.withColumn("_most", F.max("_most").over(upward.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    by_source = levels.groupBy("wanted_source").agg(F.array_sort(F.collect_list(F.struct("max_tokens", "_most"))).alias("_levels"))
+    by_source = saved_once(by_source.withColumnRenamed("wanted_source", "_ask"), "levels")
+    spread = df.select("source", key, "_total_tokens").withColumn("_ask", F.explode(F.array_distinct(F.array(F.col("source"), F.lit("all")))))
+    # The first budget that is not below the tokens, by halving.
+    halves = F.array(*[F.lit(1 << b) for b in reversed(range(20))])
+    too_small = F.aggregate(
+        halves, F.lit(0), lambda n, h: F.when(F.try_element_at(F.col("_levels"), n + h)["max_tokens"] < F.col("_total_tokens"), n + h).otherwise(n)
+    )
+    level = F.try_element_at(F.col("_levels"), too_small + 1)
+    placed = spread.join(by_source, "_ask").withColumn("_level", level).where("_level IS NOT NULL")
+    narrow = placed.select(key, "_ask", F.col("_level.max_tokens").alias("_interval"), F.col("_level._most").alias("_most"))
+    some = first_n(narrow, F.col("_most"), key, by=["_ask", "_interval", "_most"], derived=True)
+    runs = asked.withColumnRenamed("wanted_source", "_asked")
+    matched = some.join(runs, (F.col("_ask") == F.col("_asked")) & (F.col("_interval") <= F.col("max_tokens")))
+    wanted = matched.select(key, "request", F.col("_asked").alias("wanted_source"), "max_tokens", "limit")
+    chosen = first_n(wanted, F.col("limit"), key, by=["request", "limit"], derived=True)
+    return df.join(chosen, key)
+
+
 def subset_stats(df: DataFrame) -> DataFrame:
     """Rows and mean token counts of a subset; the means are 0 when it is empty."""
     def mean(column: str) -> Column:
@@ -158,15 +192,16 @@ def sample_documents_of_turns(examples: DataFrame, turns: DataFrame, n: int = 10
     return sample_documents(chosen.join(texts, key), n, key)
 
 
-def sample_documents(df: DataFrame, n: int = 10, key: str = "id") -> DataFrame:
-    """The first ``n`` examples as readable documents.
+def sample_documents(df: DataFrame, n: int = 10, key: str | Sequence[str] = "id") -> DataFrame:
+    """The first ``n`` examples in key order as readable documents.
 
     Takes (source, domain, difficulty, user_text, assistant_text); gives (sample, document).
     """
     split = texts.split_reasoning(F.col("assistant_text"))
     reasoning = F.when(split["reasoning"] == "", fixed.NO_REASONING).otherwise(split["reasoning"])
-    head = df.orderBy(key).limit(n)
-    numbered = head.withColumn("sample", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)).cast("long"))
+    keys = [key] if isinstance(key, str) else list(key)
+    head = df.orderBy(*keys).limit(n)
+    numbered = head.withColumn("sample", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys)).cast("long"))
     document = texts.fill(
         fixed.SAMPLE_DOCUMENT,
         sample=F.col("sample").cast("string"),

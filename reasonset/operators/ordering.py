@@ -5,8 +5,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import NUMBERS, key_bytes
 from ..functions.schedule import due, lr_multiplier
-from .position import first_n, hash_bucket, hash_key, hash_order, hashed_cutoff, range_bucket, with_position
+from .position import first_n, hash_bucket, hash_key, hash_order, hashed_cutoff, key_text, range_bucket, sampled_bucket, with_position
 from .predicates import missing_difficulty
 
 
@@ -22,7 +23,7 @@ def repeat_epochs(df: DataFrame, epochs: int) -> DataFrame:
 
 
 def train_test_split(
-    df: DataFrame, train_fraction: float = 0.9, seed: int = 42, key: str = "id"
+    df: DataFrame, train_fraction: float = 0.9, seed: int = 42, key: str | Sequence[str] = "id"
 ) -> tuple[DataFrame, DataFrame]:
     """Two disjoint parts, the first with exactly ``floor(train_fraction * rows)`` rows.
 
@@ -31,16 +32,16 @@ def train_test_split(
     """
     take = F.floor(F.lit(train_fraction) * F.col("_total"))
     last = hashed_cutoff(df, key, seed, take)
-    in_train = F.coalesce(hash_key(F.col(key), seed) <= last, F.lit(False))
+    in_train = F.coalesce(hash_key(key_text(df, key), seed) <= last, F.lit(False))
     return df.filter(in_train), df.filter(~in_train)
 
 
-def subsample(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
+def subsample(df: DataFrame, n: int, seed: int = 42, key: str | Sequence[str] = "id") -> DataFrame:
     """The first ``n`` rows in seeded random order of their keys; all rows when there are fewer.
 
     NULL keys and ties are those of :func:`first_n`; the order of the result is not defined.
     """
-    hashed = df.withColumn("_hash", hash_key(F.col(key), seed))
+    hashed = df.withColumn("_hash", hash_key(key_text(df, key), seed))
     return first_n(hashed, n, "_hash").drop("_hash")
 
 
@@ -60,7 +61,7 @@ def curriculum(
     mode: str,
     epochs: int,
     seed: int = 42,
-    key: str = "id",
+    key: str | Sequence[str] = "id",
     difficulty: str = "difficulty",
     n_rows: Column | None = None,
 ) -> DataFrame:
@@ -69,8 +70,9 @@ def curriculum(
     ``none``: stored order in each epoch. ``easy_to_hard``: by difficulty in each epoch, ties in
     stored order. ``first_epoch_only``: by difficulty in epoch 0, then a new random order per
     epoch. ``grouped_shuffle``: all epochs together, by difficulty, random inside a difficulty.
-    The stored order is that of a unique numeric key. All modes but ``none`` fail on a row without
-    difficulty. ``n_rows`` saves a count where the number of rows is known.
+    The stored order is that of the keys, unique together. All modes but ``none`` fail on a row without
+    difficulty. ``n_rows`` saves a count where the number of rows is known. Difficulties are sort keys and never buckets: any number
+    of them, also one per row, is cut into the same even ranges.
     """
     if mode not in ("none", "easy_to_hard", "first_epoch_only", "grouped_shuffle"):
         raise ValueError(f"unknown curriculum mode: {mode}")
@@ -78,31 +80,32 @@ def curriculum(
         message = F.lit("a curriculum needs a difficulty in every row")
         checked = F.when(missing_difficulty(df, difficulty), F.raise_error(message).cast(df.schema[difficulty].dataType))
         df = df.withColumn(difficulty, checked.otherwise(F.col(difficulty)))
+    keys = [key] if isinstance(key, str) else list(key)
     if mode in ("none", "easy_to_hard"):
         levels = [difficulty] if mode == "easy_to_hard" else []
-        return _same_every_epoch(df, epochs, key, levels, row_count(df) if n_rows is None else n_rows)
+        return _same_every_epoch(df, epochs, keys, levels, row_count(df) if n_rows is None else n_rows)
+    names = [F.col(k) for k in keys]
     if mode == "grouped_shuffle":
-        hashed = hash_order(F.concat_ws(":", F.col(key), F.col("epoch")), seed)
+        hashed = hash_order(F.concat_ws(":", key_text(df, key), F.col("epoch")), seed)
         rows = repeat_epochs(df, epochs).withColumn("_hash", hashed)
-        buckets = [F.col(difficulty), hash_bucket(F.col("_hash"))]
-        return with_position(rows, [F.col("_hash"), F.col(key), F.col("epoch")], buckets).drop("_hash")
+        rows = rows.withColumn("_k", F.concat(key_bytes(df.schema, [difficulty]), F.col("_hash")))
+        return with_position(rows, [F.col("_k"), *names, F.col("epoch")], [sampled_bucket(rows, "_k")]).drop("_hash", "_k")
     first = F.col("epoch") == 0
-    hashed = hash_order(F.col(key), F.lit(seed) + F.col("epoch"))
+    hashed = hash_order(key_text(df, key), F.lit(seed) + F.col("epoch"))
     rows = repeat_epochs(df, epochs).withColumn("_hash", F.when(~first, hashed))
-    ranges = range_bucket(df, key)
-    buckets = [
-        F.col("epoch"),
-        F.when(first, F.col(difficulty)),
-        F.when(first, ranges),
-        F.when(~first, hash_bucket(F.col("_hash"))),
-    ]
-    return with_position(rows, [F.col("_hash"), F.col(key)], buckets).drop("_hash")
+    easy = df.withColumn("_k", key_bytes(df.schema, [difficulty, *keys]))
+    rows = rows.withColumn("_k", F.when(first, key_bytes(df.schema, [difficulty, *keys])))
+    buckets = [F.col("epoch"), F.when(first, sampled_bucket(easy, "_k")), F.when(~first, hash_bucket(F.col("_hash")))]
+    return with_position(rows, [F.col("_hash"), F.col("_k"), *names], buckets).drop("_hash", "_k")
 
 
-def _same_every_epoch(df: DataFrame, epochs: int, key: str, levels: list[str], n_rows: Column) -> DataFrame:
+def _same_every_epoch(df: DataFrame, epochs: int, keys: list[str], levels: list[str], n_rows: Column) -> DataFrame:
     """Ranks the rows once and shifts the positions for each epoch."""
-    buckets = [*[F.col(c) for c in levels], range_bucket(df, key)]
-    placed = with_position(df, [F.col(key)], buckets)
+    if not levels and len(keys) == 1 and df.schema[keys[0]].dataType.typeName() in NUMBERS:
+        placed = with_position(df, [F.col(keys[0])], [range_bucket(df, keys[0])])
+    else:
+        keyed = df.withColumn("_k", key_bytes(df.schema, [*levels, *keys]))
+        placed = with_position(keyed, [F.col("_k")], [sampled_bucket(keyed, "_k")]).drop("_k")
     shifted = F.col("position") + F.col("epoch") * n_rows
     return repeat_epochs(placed, epochs).withColumn("position", shifted)
 

@@ -9,13 +9,21 @@ make a large bucket.
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import NUMBERS, key_bytes
 from ..session import saved_once
 
-# Upper bound of the number of key ranges, and with it of the values that reach the driver.
-MAX_RANGES = 1024
+# Key ranges hold about this many rows, or a thousand times as many beyond 1,024 ranges; 65,536 is the upper
+# bound of their number, and with it of what reaches the driver and of the running sum over them.
+RANGE_ROWS, MAX_RANGES = 1000, 1 << 16
+
+# Keys of a sample per range, from which ranges are cut.
+SAMPLED = 32
+
+# The first rows up to this many come from one bounded sort; an interval of so many keys is sorted on the driver.
+FEW, INTERVAL = 1000, 10_000
 
 # Whole-number keys may leave this many numbers per row unused and still be cut at equal widths.
 MAX_SPAN_PER_ROW = 8
@@ -48,18 +56,42 @@ def block_bucket(row_number: Column, rows: int = 1_000_000) -> Column:
     return F.floor(row_number / rows)
 
 
-def range_bucket(df: DataFrame, key: str, ranges: int = MAX_RANGES) -> Column:
-    """At most ``ranges`` even buckets of a unique numeric key, in key order.
+def range_count(rows: int) -> int:
+    """How many key ranges a table of so many rows is cut into."""
+    return max(min(1024, rows // RANGE_ROWS + 1), min(MAX_RANGES, rows // (1000 * RANGE_ROWS)))
+
+
+def sampled_bucket(df: DataFrame, key: str, ranges: int | None = None) -> Column:
+    """Even buckets of a binary key, in key order, cut at quantiles of a sample.
+
+    Any cuts give right positions, good ones make even buckets; a key that is not unique is not cut. The cuts
+    become constants of the plan, so that all uses of the bucket agree.
+    """
+    rows = df.count()
+    ranges = ranges or range_count(rows)
+    if ranges <= 1 or not rows:
+        return F.lit(0)
+    shown = df.select(F.hex(key).alias("k"))
+    share = SAMPLED * ranges / rows
+    found = sorted(r["k"] for r in (shown.sample(share, 11) if share < 1 else shown).collect() if r["k"] is not None)
+    splits = sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
+    return split_bucket(F.hex(key), splits, "string") if splits else F.lit(0)
+
+
+def range_bucket(df: DataFrame, key: str, ranges: int | None = None) -> Column:
+    """At most ``ranges`` even buckets of a unique numeric key, in key order; as many as the rows ask for if not given.
 
     One row of figures about the key decides how, and becomes constants of the plan, so that all
     uses of the bucket agree. Whole numbers without large gaps get ranges of equal width: being
     unique, no more of them than that width can fall into one. Other keys are cut at quantiles,
     which may be approximate: any cuts give right positions, good ones make even buckets.
     """
-    ranges = min(ranges, MAX_RANGES)
     low, high, rows = df.agg(F.min(key), F.max(key), F.count(key)).first()
     if not rows:
         return F.lit(0)
+    ranges = min(ranges or range_count(rows), MAX_RANGES)
+    if ranges <= 1:
+        return F.lit(0)
     whole = df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
     if whole and high - low + 1 <= MAX_SPAN_PER_ROW * rows:
         width = -(-(high - low + 1) // ranges)
@@ -90,8 +122,8 @@ def _same(left: list[str], right: list[str]) -> Column:
 def _bucket_offsets(keyed: DataFrame, by: list[str], buckets: list[str]) -> DataFrame:
     """Rows per (group, bucket), the rows before the bucket in its group, and the group's rows.
 
-    This table has one row per bucket: at most ``16 ** digits`` or ``MAX_RANGES`` for each group
-    and level, however many rows there are. Only it goes through the running sum.
+    This table has one row per bucket: at most ``16 ** digits`` or ``MAX_RANGES`` for each group,
+    however many rows there are. Only it goes through the running sum.
     """
     counts = keyed.groupBy(*by, *buckets).agg(F.count(F.lit(1)).alias("_rows"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -185,37 +217,63 @@ def _before(keys: list[str], values: Sequence[Column]) -> tuple[Column, Column]:
     return before, same
 
 
-def first_rows(df: DataFrame, n: int, key: str | Sequence[str]) -> tuple[DataFrame, int]:
-    """:func:`first_n` without groups, and how many rows that are.
+def _common(low: bytes, high: bytes) -> int:
+    return next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+
+
+def nth_key(keyed: DataFrame, n: int) -> tuple[Row | None, int, int]:
+    """The row of the n-th smallest ``_k``, how many are below it, and how many equal it; no row, and the count, when there are fewer.
 
-    Rows are counted per key, so that a frequent key is one row from there on; the counted keys are written
-    in key ranges; counts per range tell which range holds the cut, and only that range is ranked.
-    One row, the cut, reaches the driver and becomes constants of a filter.
+    The interval of all keys shrinks: rows are counted by the next two bytes behind what the interval's keys have in common, and
+    the count that holds the n-th key is the next interval, until it fits ``INTERVAL`` rows or is one key. Only counts, at
+    most 65,792 of them, leave the scan; no key is sorted or shuffled before the last interval.
+    """
+    inside, below = keyed, 0
+    while True:
+        rows, low, high = inside.agg(F.count(F.lit(1)), F.min("_k"), F.max("_k")).first()
+        if below + rows < n:
+            return None, below + rows, 0
+        if low == high:
+            return inside.limit(1).first(), below, rows
+        if rows <= INTERVAL:
+            found = sorted(inside.collect(), key=lambda r: bytes(r["_k"]))
+            cut = bytes(found[n - below - 1]["_k"])
+            places = [i for i, r in enumerate(found) if bytes(r["_k"]) == cut]
+            return found[places[0]], below + places[0], len(places)
+        digits = F.substring("_k", _common(bytes(low), bytes(high)) + 1, 2)
+        for part in sorted(inside.groupBy(digits.alias("d")).agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: bytes(r["d"])):
+            if below + part["rows"] >= n:
+                break
+            below += part["rows"]
+        inside = inside.filter(digits == F.lit(bytes(part["d"])))
+
+
+def first_rows(df: DataFrame, n: int, key: str | Sequence[str], derived: bool = False) -> tuple[DataFrame, int]:
+    """:func:`first_n` without groups, and how many rows that are at most.
+
+    A few rows are the head of one bounded sort. For more, the key of the last one is selected by shrinking intervals; it
+    reaches the driver and becomes the constant of a filter, so that the rows themselves are neither sorted nor
+    shuffled. ``derived`` says that which rows there are depends on wide columns: the keys are then written
+    once instead of being worked out for every interval.
     """
     if n <= 0:
         return df.limit(0), 0
     keys = _key_list(key)
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    placed = saved_once(counted.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "keys")
-    ranges = placed.groupBy("_part").agg(F.sum("_n").alias("_rows"))
-    # One row per range, of which there are as many as shuffle partitions.
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-    edge = ranges.filter((F.col("_start") < n) & (F.col("_start") + F.col("_rows") >= n)).first()
-    if edge is None:
-        return df, placed.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    inside = Window.partitionBy("_part").orderBy(*keys)
-    ranked = placed.filter(F.col("_part") == edge["_part"]).withColumn("_end", F.sum("_n").over(inside) + edge["_start"])
-    cut = ranked.filter((F.col("_end") >= n) & (F.col("_end") - F.col("_n") < n)).first()
-    values = [F.lit(cut[k]).cast(placed.schema[k].dataType) for k in keys]
+    if n <= FEW:
+        return df.orderBy(*keys, row_tie(df)).limit(n), n
+    keyed = df.select(*keys, key_bytes(df.schema, keys).alias("_k"))
+    cut, below, equal = nth_key(saved_once(keyed, "keys") if derived else keyed, n)
+    if cut is None:
+        return df, below
+    values = [F.lit(cut[k]).cast(df.schema[k].dataType) for k in keys]
     before, same = _before(keys, values)
-    if cut["_end"] == n:
+    if below + equal == n:
         return df.filter(before | same), n
-    wanted, ties = n - (cut["_end"] - cut["_n"]), df.filter(same)
+    wanted, ties = n - below, df.filter(same)
     if keys == ["_tie"]:
         # Rows alike in all columns: any of them will do.
         return df.filter(before).unionByName(ties.limit(wanted)), n
-    some, _ = first_rows(ties.withColumn("_tie", row_tie(df)), wanted, "_tie")
+    some, _ = first_rows(ties.withColumn("_tie", row_tie(df)), wanted, "_tie", derived)
     return df.filter(before).unionByName(some.drop("_tie")), n
 
 
@@ -224,10 +282,10 @@ def first_n(
 ) -> DataFrame:
     """The first ``n`` rows in key order, per group when ``by`` is given; their order is not defined.
 
-    Without groups ``key`` is one column or several of any types that can be sorted. NULLs come first. Rows of equal keys are
-    taken in the order of :func:`row_tie`, so that there are never more than ``n``. One plan serves every ``n``.
+    ``key`` is one column or several, of types that :func:`~reasonset.functions.keys.key_bytes` takes. NULLs come first. Without groups, rows of equal
+    keys are taken in the order of :func:`row_tie`, so that there are never more than ``n``.
 
-    With groups ``key`` is a unique numeric column without NULLs, and a cut-off key per group is found. The rows
+    With groups the keys are unique together, and a cut-off key per group is found. The rows
     themselves are filtered where they are, without a sort or shuffle. ``derived`` says that which rows there are
     depends on wide columns, such as the length of a text; the keys are then written once instead of being
     worked out for every use.
@@ -236,12 +294,18 @@ def first_n(
     if not by:
         if not isinstance(n, int):
             raise TypeError("without groups the number of rows is an int")
-        return first_rows(df, n, key)[0]
+        return first_rows(df, n, key, derived)[0]
+    kinds = [df.schema[k].dataType.typeName() for k in _key_list(key)]
+    if len(kinds) > 1 or kinds[0] not in (*NUMBERS, "binary"):
+        keyed = df.withColumn("_key", key_bytes(df.schema, _key_list(key)))
+        return first_n(keyed, n, "_key", by, derived).drop("_key")
+    key = _key_list(key)[0]
     take = F.lit(n) if isinstance(n, int) else n
     keys = df.select(*by, key)
     if derived:
         keys = saved_once(keys, "keys")
-    cuts = cutoffs(keys, key, range_bucket(keys, key), take, by, "_cutoff")
+    bucket = sampled_bucket(keys, key) if kinds == ["binary"] else range_bucket(keys, key)
+    cuts = cutoffs(keys, key, bucket, take, by, "_cutoff")
     # One row per group, written so that its true size decides on a broadcast: the rows need not
     # be shuffled to find that out.
     cuts = saved_once(cuts.select(*[F.col(c).alias(f"_o_{c}") for c in by], "_cutoff"), "cutoffs")
@@ -249,7 +313,13 @@ def first_n(
     return joined.filter(F.col(key) <= F.col("_cutoff")).drop("_cutoff", *[f"_o_{c}" for c in by])
 
 
-def hashed_cutoff(df: DataFrame, key: str, seed: int, take: Column) -> Column:
+def key_text(df: DataFrame, key: str | Sequence[str]) -> Column:
+    """What a row's hash is made of: its key column, or several as the text of their bytes."""
+    keys = _key_list(key)
+    return F.col(keys[0]) if len(keys) == 1 else F.hex(key_bytes(df.schema, keys))
+
+
+def hashed_cutoff(df: DataFrame, key: str | Sequence[str], seed: int, take: Column) -> Column:
     """The hash key of the last of ``take`` rows in seeded random order, as a scalar subquery."""
-    hashed = df.select(hash_key(F.col(key), seed).alias("_hash"))
+    hashed = df.select(hash_key(key_text(df, key), seed).alias("_hash"))
     return cutoffs(hashed, "_hash", F.substring("_hash", 1, HASH_DIGITS), take).select("cutoff").scalar()

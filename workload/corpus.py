@@ -315,6 +315,27 @@ def subset_sweep(spark, sf_dir):
     return corpus.subset_sweep(rows, _REQUESTS).drop("_total_tokens")
 
 
+# Thousands of requests from a table: a part asks for as many documents as its size, of one source or of all.
+@query(
+    "WITH requests AS (SELECT p_partkey AS request, CASE WHEN p_size % 5 = 0 THEN 'all' ELSE concat('src', p_partkey % 14) END AS wanted_source,"
+    " p_partkey * 7 % 3000 AS max_tokens, p_size AS lim FROM part), ranked AS ("
+    "SELECT q.*, d.doc_id AS id, d.source, row_number() OVER (PARTITION BY request ORDER BY doc_id) AS rn"
+    " FROM requests q JOIN documents d ON length(d.text) // 4 <= q.max_tokens AND (q.wanted_source = 'all' OR q.wanted_source = d.source))"
+    ' SELECT request, wanted_source, max_tokens, lim AS "limit", id, source FROM ranked WHERE rn <= lim'
+)
+def subset_sweep_of(spark, sf_dir):
+    part = views.table(spark, sf_dir, "part")
+    source = F.concat(F.lit("src"), (F.col("p_partkey") % 14).cast("string"))
+    requests = part.select(
+        F.col("p_partkey").alias("request"), F.when(F.col("p_size") % 5 == 0, "all").otherwise(source).alias("wanted_source"),
+        (F.col("p_partkey") * 7 % 3000).alias("max_tokens"), F.col("p_size").alias("limit"),
+    )
+    rows = views.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), "source", F.floor(F.length("text") / 4).alias("_total_tokens")
+    )
+    return corpus.subset_sweep_of(rows, requests).drop("_total_tokens")
+
+
 @query(
     f"WITH {_TOKENS} SELECT count(*) AS total_rows, round(coalesce(avg(total_tokens), 0), 6) AS avg_total_tokens,"
     " round(coalesce(avg(assistant_tokens), 0), 6) AS avg_assistant_tokens FROM tokens WHERE total_tokens <= 700"

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from reasonset.operators import position, rewards, scoring
+from reasonset.session import saved_once
 
 from . import views
 from .registry import query
@@ -59,6 +60,8 @@ _VERDICT = f"""WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY o_ord
 def sample_verdict(spark, sf_dir):
     orders = views.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("problem"))
     numbered = position.with_position(orders, [F.col("o_orderkey")], [position.range_bucket(orders, "o_orderkey")], by=["problem"], name="sample")
+    # Written once: it names the samples, their problems' tests and their results.
+    numbered = saved_once(numbered, "numbered")
     samples = numbered.select("problem", "sample")
     kinds = samples.select("problem").distinct()
     tests = kinds.select("problem", F.explode(F.sequence(F.lit(1), F.length("problem") % 3 + 1)).alias("test"))
