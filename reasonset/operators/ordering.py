@@ -87,9 +87,11 @@ def curriculum(
     names = [F.col(k) for k in keys]
     if mode == "grouped_shuffle":
         hashed = hash_order(F.concat_ws(":", key_text(df, key), F.col("epoch")), seed)
-        rows = repeat_epochs(df, epochs).withColumn("_hash", hashed)
-        rows = rows.withColumn("_k", F.concat(key_bytes(df.schema, [difficulty]), F.col("_hash")))
-        return with_position(rows, [F.col("_k"), *names, F.col("epoch")], [sampled_bucket(rows, "_k")]).drop("_hash", "_k")
+        placed = F.concat(key_bytes(df.schema, [difficulty]), hashed)
+        rows = repeat_epochs(df, epochs).withColumn("_k", placed)
+        # The hashes of one epoch are spread as those of all are.
+        ranges = sampled_bucket(df.withColumn("epoch", F.lit(0)).select(placed.alias("_k")), "_k", times=epochs)
+        return with_position(rows, [F.col("_k"), *names, F.col("epoch")], [ranges]).drop("_k")
     first = F.col("epoch") == 0
     hashed = hash_order(key_text(df, key), F.lit(seed) + F.col("epoch"))
     rows = repeat_epochs(df, epochs).withColumn("_hash", F.when(~first, hashed))

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.keys import NUMBERS, key_bytes
 from ..session import saved_once
 
-# Key ranges hold about this many rows, or a thousand times as many beyond 1,024 ranges; 65,536 is the upper
+# Key ranges hold about this many rows, or a hundred times as many beyond 1,024 ranges; 65,536 is the upper
 # bound of their number, and with it of what reaches the driver and of the running sum over them.
-RANGE_ROWS, MAX_RANGES = 1000, 1 << 16
+RANGE_ROWS, MAX_RANGES = 10_000, 1 << 16
 
 # Keys of a sample per range, from which ranges are cut.
 SAMPLED = 32
@@ -58,17 +58,17 @@ def block_bucket(row_number: Column, rows: int = 1_000_000) -> Column:
 
 def range_count(rows: int) -> int:
     """How many key ranges a table of so many rows is cut into."""
-    return max(min(1024, rows // RANGE_ROWS + 1), min(MAX_RANGES, rows // (1000 * RANGE_ROWS)))
+    return max(min(1024, rows // RANGE_ROWS + 1), min(MAX_RANGES, rows // (100 * RANGE_ROWS)))
 
 
-def sampled_bucket(df: DataFrame, key: str, ranges: int | None = None) -> Column:
-    """Even buckets of a binary key, in key order, cut at quantiles of a sample.
+def sampled_bucket(df: DataFrame, key: str, ranges: int | None = None, times: int = 1) -> Column:
+    """Even buckets of a binary key, in key order, cut at quantiles of a sample; ``times`` as many for a table that is repeated.
 
     Any cuts give right positions, good ones make even buckets; a key that is not unique is not cut. The cuts
     become constants of the plan, so that all uses of the bucket agree.
     """
     rows = df.count()
-    ranges = ranges or range_count(rows)
+    ranges = ranges or range_count(rows * times)
     if ranges <= 1 or not rows:
         return F.lit(0)
     shown = df.select(F.hex(key).alias("k"))
@@ -105,11 +105,16 @@ def split_bucket(key: Column, splits: Sequence, dtype: str = "bigint") -> Column
     """The number of splits not above the key, by binary search over a constant array."""
     values = F.split(F.lit(",".join(str(s) for s in splits)), ",").cast(f"array<{dtype}>")
     strides = [1 << b for b in reversed(range(len(splits).bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in strides]),
-        F.lit(0),
-        lambda found, s: F.when(F.try_element_at(values, found + s) <= key, found + s).otherwise(found),
-    )
+
+    def search(wanted: Column) -> Column:
+        return F.aggregate(
+            F.array(*[F.lit(s) for s in strides]),
+            F.lit(0),
+            lambda found, s: F.when(F.try_element_at(values, found + s) <= wanted, found + s).otherwise(found),
+        )
+
+    # The key, which may be a hash, is worked out once and not at every step.
+    return F.element_at(F.transform(F.array(key), search), 1)
 
 
 def _same(left: list[str], right: list[str]) -> Column:

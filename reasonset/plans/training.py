@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ordering
+from ..session import saved_once
 
 
 def training_plan(
@@ -25,7 +26,8 @@ def training_plan(
 
     Give it keys and difficulties only, and join the texts to a step's keys when it is trained.
     """
-    train, _ = ordering.train_test_split(df, train_fraction, seed, key)
+    # Written once: the order asks for its rows several times.
+    train = saved_once(ordering.train_test_split(df, train_fraction, seed, key)[0], "training-keys")
     n_train = F.floor(F.lit(train_fraction) * ordering.row_count(df))
     ordered = ordering.curriculum(train, mode, epochs, seed, key, n_rows=n_train)
     batches = ordering.assign_batches(ordered, n_train, batch_size, epochs)
