@@ -97,10 +97,17 @@ DIFFERENCE_DOCUMENT = """Question Index: {problem}
 Timestamp: {run}
 Status: {status}
 Extracted Answer: {answer}
+Correct Answer: {correct}
 
 RESPONSE:
 {response}
 """
+PROMPT_DOCUMENT = """Question Index: {problem}
+
+PROMPT:
+{prompt}
+"""
+FLIP_LINE = "{run}: {status} (answered: {answer}, correct: {correct})"
 
 # Messages shown in place of missing things.
 NO_CONVERSATION = "No conversation"

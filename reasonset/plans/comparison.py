@@ -12,5 +12,6 @@ def compare_and_write(samples: DataFrame, root: str, by: str = "step", order: st
     results = runs.digested_results(samples, by, order)
     compared = saved_once(runs.compare_runs(results, by, runs.first_runs(samples, by)), "compared")
     summary = writers.comparison_summary(results, compared, by)
-    writers.write_comparison(summary, writers.difference_documents(samples, compared, by, order), root, by)
+    documents = writers.difference_documents(samples, compared, by, order)
+    writers.write_comparison(summary, documents, writers.prompt_documents(samples, compared, by, order), root, by)
     return compared

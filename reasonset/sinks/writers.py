@@ -151,33 +151,61 @@ def comparison_summary(results: DataFrame, compared: DataFrame, by: str = "step"
     return counts.select(by, content.alias("content"))
 
 
+def _known(df: DataFrame, column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("")) if column in df.columns else F.lit("")
+
+
 def difference_documents(
     samples: DataFrame, compared: DataFrame, by: str = "step", order: str = "sample_idx"
 ) -> DataFrame:
-    """One readable document per run of every problem that was not identical in all runs.
+    """One readable document per run of every problem that was not identical in all runs, with its answer and the correct one.
 
-    Only the samples of those problems are looked at again for their texts.
+    Only the samples of those problems are looked at again for their texts. ``target`` of the samples is the correct answer.
     """
     differing = compared.filter(F.col("category") != "identical").select(by, "problem", "category")
-    results = first_result(
-        samples.join(differing, [by, "problem"]), [by, "category", "problem", "run"], order, ["response", "answer"]
-    )
+    told = samples.withColumns({"response": _known(samples, "response"), "answer": _known(samples, "answer"), "correct": _known(samples, "target")})
+    results = first_result(told.join(differing, [by, "problem"]), [by, "category", "problem", "run"], order, ["response", "answer", "correct"])
     status = F.when(F.col("is_correct"), "PASSED").otherwise("FAILED")
     document = fill(
         fixed.DIFFERENCE_DOCUMENT,
         problem=F.col("problem").cast("string"),
         run=F.col("run"),
         status=status,
-        answer=F.coalesce("answer", F.lit("")),
-        response=F.coalesce("response", F.lit("")),
+        answer=F.col("answer"),
+        correct=F.col("correct"),
+        response=F.col("response"),
     )
-    return results.select(by, "category", "problem", "run", status.alias("status"), document.alias("document"))
+    return results.select(by, "category", "problem", "run", status.alias("status"), "answer", "correct", document.alias("document"))
+
+
+def prompt_documents(samples: DataFrame, compared: DataFrame, by: str = "step", order: str = "sample_idx") -> DataFrame:
+    """The prompt of every problem that was not identical in all runs: that of the first run's first sample."""
+    differing = compared.filter(F.col("category") != "identical").select(by, "problem", "category", F.col("first_run").alias("run"))
+    asked = samples.select(by, "problem", "run", order, _known(samples, "prompt").alias("prompt"), F.lit(False).alias("is_correct"))
+    first = first_result(asked.join(differing, [by, "problem", "run"]), [by, "category", "problem"], order, ["prompt"])
+    document = fill(fixed.PROMPT_DOCUMENT, problem=F.col("problem").cast("string"), prompt=F.col("prompt"))
+    return first.select(by, "category", "problem", document.alias("document"))
 
 
-def write_comparison(summary: DataFrame, documents: DataFrame, root: str, by: str = "step") -> None:
-    """Writes the summaries as texts, and the documents by category."""
+def flipped_questions(documents: DataFrame, by: str = "step") -> DataFrame:
+    """From :func:`difference_documents`, one line per run of every question whose outcome differs between runs."""
+    shown = F.when(F.col("status") == "PASSED", "✓ PASS").otherwise("✗ FAIL")
+    line = fill(fixed.FLIP_LINE, run=F.col("run"), status=shown, answer=F.col("answer"), correct=F.col("correct"))
+    return documents.filter(F.col("category") == "flip").select(by, "problem", "run", "status", "answer", "correct", line.alias("line"))
+
+
+def write_comparison(summary: DataFrame, documents: DataFrame, prompts: DataFrame, root: str, by: str = "step") -> None:
+    """Writes the summaries as texts, the documents and prompts by category, and the flipped questions of each ``by`` value.
+
+    The questions are rows of a table next to the summary and not a part of its text, which would have to hold all of them.
+    """
+    spark = documents.sparkSession
     write_documents(summary, f"{root}/summary", [by], "content")
-    documents.write.mode("overwrite").partitionBy(by, "category").json(f"{root}/differences")
+    folders = [by, "category"]
+    _replace_folders(documents.hint("rebalance", *folders), folders).json(f"{root}/differences")
+    _replace_folders(prompts.hint("rebalance", *folders), folders).json(f"{root}/prompts")
+    written = spark.read.schema(documents.schema).json(f"{root}/differences")
+    _replace_folders(flipped_questions(written, by).hint("rebalance", by), [by]).json(f"{root}/flips")
 
 
 def catalog_report(catalog: DataFrame, prefix: str = "") -> DataFrame:

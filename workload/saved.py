@@ -11,8 +11,8 @@ from reasonset.sources.results import explode_samples, read_problems as read_pro
 
 from . import views
 from .corpus import _BASIC, _CHOICES
-from .registry import query
-from .runs import _COMPARED, _MERGED, _merged
+from .registry import ORACLES, query
+from .runs import _COMPARED, _MERGED, _merged, leaderboard_of_texts, parse
 from .views import SAMPLES
 
 
@@ -141,6 +141,32 @@ def write_stats(spark, sf_dir):
     return read.select("source", "domain", "total_rows", F.round("avg_difficulty", 6).alias("avg_difficulty"))
 
 
+_DIMENSIONS = {"difficulty": "coalesce(CAST(difficulty AS VARCHAR), 'None')", "source": "coalesce(source, 'null')", "domain": "coalesce(domain, 'null')"}
+_MAPS = ", ".join(
+    f"{name}_map AS (SELECT s, d, string_agg(concat(k, '=', n), ',' ORDER BY k) AS {name}_distribution FROM"
+    f" (SELECT wanted_source AS s, wanted_domain AS d, {key} AS k, count(*) AS n FROM matched GROUP BY ALL) g GROUP BY s, d)"
+    for name, key in _DIMENSIONS.items()
+)
+
+_SHOWN = ", ".join(f"coalesce({name}_distribution, '') AS {name}_distribution" for name in _DIMENSIONS)
+
+
+@query(
+    f"{_CHOICES}, {_MAPS} SELECT p.source, p.domain, {_SHOWN} FROM pairs p"
+    + "".join(f" LEFT JOIN {n}_map ON p.source = {n}_map.s AND p.domain = {n}_map.d" for n in _DIMENSIONS)
+)
+def read_stats_maps(spark, sf_dir):
+    """The distributions of every choice, written as maps and read back, as text in key order."""
+    root = shared_folder(spark, "stats")
+    writers.write_stats(stat_ops.stats_cube_maps(views.conv_examples(spark, sf_dir)), root)
+
+    def shown(name):
+        entries = F.array_sort(F.map_entries(f"{name}_distribution"))
+        return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(f"{name}_distribution")
+
+    return saved.read_stats(spark, root).select("source", "domain", *[shown(n) for n in _DIMENSIONS])
+
+
 @query(f"{_MERGED} SELECT run, step, metric, value FROM merged")
 def write_metrics(spark, sf_dir):
     root = shared_folder(spark, "metrics")
@@ -148,15 +174,51 @@ def write_metrics(spark, sf_dir):
     return saved.read_metrics(spark, root).select("run", "step", "metric", "value")
 
 
+_STATUS = "CASE WHEN r.is_correct THEN 'PASSED' ELSE 'FAILED' END"
+_DIFFERING = "FROM first_results r JOIN compared c ON r.step = c.step AND r.problem = c.problem WHERE c.category"
+
+
+def _written_comparison(spark, sf_dir):
+    root = shared_folder(spark, "comparison")
+    problem = F.col("problem").cast("string")
+    told = {"answer": F.col("response"), "target": F.concat(F.lit("t"), problem), "prompt": F.concat(F.lit("Solve "), problem)}
+    compare_and_write(views.samples(spark, sf_dir).withColumns(told), root, order="event_id")
+    return root
+
+
 @query(
-    f"{_COMPARED} SELECT r.step, c.category, r.problem, r.run, CASE WHEN r.is_correct THEN 'PASSED' ELSE 'FAILED' END AS status,"
-    " concat('Question Index: ', r.problem, chr(10), 'Timestamp: ', r.run, chr(10), 'Status: ', CASE WHEN r.is_correct THEN 'PASSED'"
-    " ELSE 'FAILED' END, chr(10), 'Extracted Answer: ', r.response, chr(10), chr(10), 'RESPONSE:', chr(10), r.response, chr(10))"
-    " AS document FROM first_results r JOIN compared c ON r.step = c.step AND r.problem = c.problem WHERE c.category <> 'identical'"
+    f"{_COMPARED} SELECT r.step, c.category, r.problem, r.run, {_STATUS} AS status,"
+    f" concat('Question Index: ', r.problem, chr(10), 'Timestamp: ', r.run, chr(10), 'Status: ', {_STATUS}, chr(10), 'Extracted Answer: ', r.response,"
+    f" chr(10), 'Correct Answer: t', r.problem, chr(10), chr(10), 'RESPONSE:', chr(10), r.response, chr(10)) AS document {_DIFFERING} <> 'identical'"
 )
 def write_comparison(spark, sf_dir):
-    root = shared_folder(spark, "comparison")
-    samples = views.samples(spark, sf_dir).withColumn("answer", F.col("response"))
-    compare_and_write(samples, root, order="event_id")
     schema = "problem bigint, run string, status string, document string, step bigint, category string"
-    return spark.read.schema(schema).json(f"{root}/differences")
+    return spark.read.schema(schema).json(f"{_written_comparison(spark, sf_dir)}/differences")
+
+
+@query(
+    f"{_COMPARED} SELECT r.step, r.problem, r.run, {_STATUS} AS status, r.response AS answer, concat('t', r.problem) AS correct,"
+    " concat(r.run, ': ', CASE WHEN r.is_correct THEN '✓ PASS' ELSE '✗ FAIL' END, ' (answered: ', r.response, ', correct: t', r.problem, ')') AS line"
+    f" {_DIFFERING} = 'flip'"
+)
+def comparison_flips(spark, sf_dir):
+    schema = "problem bigint, run string, status string, answer string, correct string, line string, step bigint"
+    return spark.read.schema(schema).json(f"{_written_comparison(spark, sf_dir)}/flips")
+
+
+@query(
+    f"{_COMPARED} SELECT step, category, problem, concat('Question Index: ', problem, chr(10), chr(10), 'PROMPT:', chr(10), 'Solve ', problem, chr(10)) AS document"
+    " FROM compared WHERE category <> 'identical'"
+)
+def comparison_prompts(spark, sf_dir):
+    schema = "problem bigint, document string, step bigint, category string"
+    return spark.read.schema(schema).json(f"{_written_comparison(spark, sf_dir)}/prompts")
+
+
+@query(ORACLES["parse_summaries"])
+def read_comparison_summaries(spark, sf_dir):
+    """The figures of the written summaries, read back from their files."""
+    read = spark.read.text(f"{_written_comparison(spark, sf_dir)}/summary", wholetext=True)
+    named = read.select(F.concat(F.lit("m"), F.col("step").cast("string")).alias("model"), F.col("value").alias("content"))
+    found = leaderboard_of_texts(parse(named))
+    return found.withColumn("identical_pct", F.round("identical_pct", 6))
