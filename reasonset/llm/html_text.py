@@ -6,9 +6,12 @@ class that they are menus, headers, footers, sidebars, notices, adverts or comme
     C / T * log(C / LC * T / LT, base = ln(C / (C - LC) * LC + LCb / Cb * C + e))
 
 of its characters C, tags T, link characters LC and link tags LT (those of the body with b; none of them below 1). A node's sum is that of
-its children's densities. The subtree of the largest sum is the text; the smallest density on its way to the body is
-the threshold by which further subtrees are taken. Where the chosen node stands inside an article (or main), the
-article is taken.
+its children's densities. The node of the largest sum leads; the smallest density on its way to the body, that of the body aside, is
+the threshold: every subtree that is as dense is text, whole, and nothing else is (all of the body where the body itself leads).
+
+Tags and marks are evidence beside the densities. Where the leading node stands in an article (or main), a subtree outside all of them
+has to reach the threshold by the sum of its children as well, as a single dense line does not. A broad mark such as ``social`` or
+``related`` inside an article only takes a block away that also has a third of its characters in links, or form fields.
 
 Blocks are separated by block-level tags and line breaks; white space inside is one space; blocks are joined by one space.
 
@@ -32,7 +35,7 @@ from .common import small_batches, table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(?=[a-zA-Z/])[^>]*(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_CLASS_WORD = re.compile(r"[a-z]+|[0-9]+")
+_CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 # The groups of HTML elements and the names by which pages mark what is not their text.
 RAW = frozenset("script style noscript template textarea iframe noframes title xmp".split())
@@ -54,28 +57,34 @@ MARKS = frozenset(
     " comment comments disqus respond nav navbar navigation menu breadcrumb breadcrumbs footer popup modal overlay newsletter subscribe signup share sharing social related"
     " recommended widget toolbar pagination pager".split()
 )
+BROAD_MARKS = frozenset("social related alert notice notification promo promotion banner widget share sharing recommended respond overlay popup".split())
+FIELDS = frozenset("form button select input option datalist".split())
 HEADER_MARKS = frozenset("header masthead topbar".split())
 ROOTS = frozenset("html body article main".split())
 
 
-def _skipped(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in NEVER:
-        return True
-    if tag == "header" and not in_article:
-        return True
+def _left_out(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is no part of the text, and whether it is only suspected of that."""
+    if tag in NEVER or (tag == "header" and not in_article):
+        return True, False
     if not attributes or tag in ROOTS:
-        return False
+        return False, False
+    suspected = False
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
+        name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            words = set(_CLASS_WORD.findall(value))
-            if words & MARKS or (not in_article and words & HEADER_MARKS):
-                return True
-        elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            words = {w.lower() for w in _CLASS_WORD.findall(value)}
+            marks = words & MARKS | (set() if in_article else words & HEADER_MARKS)
+            if marks - (BROAD_MARKS if in_article else set()):
+                return True, False
+            suspected = suspected or bool(marks)
+            continue
+        value = value.lower()
+        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+            return True, False
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return True, False
+    return False, suspected
 
 
 class Tree:
@@ -85,6 +94,9 @@ class Tree:
         self.tags, self.parent, self.first, self.last = ["body"], [-1], [0], [0]
         self.chars, self.links = [0], [0]  # of the subtree
         self.pieces: list[str] = []
+        self.in_article = [False]
+        self._suspected: list[int] = []
+        self._fields: set[int] = set()  # nodes with form fields in them
         self._open = [0]
         self._names = ["body"]
         self._in_links = 0
@@ -94,6 +106,25 @@ class Tree:
         for i in range(len(self.tags) - 1, 0, -1):
             self.chars[self.parent[i]] += self.chars[i]
             self.links[self.parent[i]] += self.links[i]
+            if i in self._fields:
+                self._fields.add(self.parent[i])
+        self.gone = [False] * len(self.tags)
+        for node in self._suspected:
+            if not self.gone[node] and (node in self._fields or 3 * self.links[node] >= max(1, self.chars[node])):
+                self._remove(node)
+
+    def _remove(self, node: int) -> None:
+        """Takes a subtree away; its nodes follow each other in page order."""
+        chars, links, at = self.chars[node], self.links[node], self.parent[node]
+        while at >= 0:
+            self.chars[at] -= chars
+            self.links[at] -= links
+            at = self.parent[at]
+        inside = node
+        while inside < len(self.tags) and (inside == node or self.gone[self.parent[inside]]):
+            self.gone[inside], self.chars[inside], self.links[inside] = True, 0, 0
+            inside += 1
+        self.pieces[self.first[node] : self.last[node]] = ["\n"] * (self.last[node] - self.first[node])
 
     def _pop(self) -> None:
         node = self._open.pop()
@@ -162,7 +193,11 @@ class Tree:
                 self._close_to(SAME[tag], frozenset(("ul", "ol", "dl", "table")))
             if tag in ("html", "body"):
                 continue
-            if _skipped(tag, attributes, "article" in self._names or "main" in self._names):
+            in_article = "article" in self._names or "main" in self._names
+            skipped, suspected = _left_out(tag, attributes, in_article)
+            if tag in FIELDS:
+                self._fields.add(self._open[-1])
+            if skipped:
                 if tag not in VOID and not attributes.endswith("/"):
                     skip, depth = tag, 1
                 continue
@@ -173,6 +208,9 @@ class Tree:
             self.last.append(len(self.pieces))
             self.chars.append(0)
             self.links.append(0)
+            self.in_article.append(in_article or tag in ("article", "main"))
+            if suspected:
+                self._suspected.append(node)
             if tag not in VOID and not attributes.endswith("/"):
                 self._open.append(node)
                 self._names.append(tag)
@@ -188,8 +226,9 @@ def densities(tree: Tree) -> tuple[list[float], list[float]]:
     tags, link_tags = [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
         up = tree.parent[i]
-        tags[up] += tags[i] + 1
-        link_tags[up] += link_tags[i] + (tree.tags[i] == "a")
+        if not tree.gone[i]:
+            tags[up] += tags[i] + 1
+            link_tags[up] += link_tags[i] + (tree.tags[i] == "a")
     ratio = tree.links[0] / max(1, tree.chars[0])
     density, sums = [0.0] * n, [0.0] * n
     for i in range(n - 1, -1, -1):
@@ -203,32 +242,27 @@ def densities(tree: Tree) -> tuple[list[float], list[float]]:
     return density, sums
 
 
+def chosen_nodes(tree: Tree) -> list[int]:
+    """The nodes whose whole text is main text, in page order; some may lie inside others."""
+    density, sums = densities(tree)
+    n = len(tree.tags)
+    best = max(range(n), key=lambda i: (sums[i], density[i], -i))
+    if best == 0:
+        return [0]
+    threshold, at = density[best], tree.parent[best]
+    while at > 0:
+        threshold, at = min(threshold, density[at]), tree.parent[at]
+    known = tree.in_article[best]
+    chosen = {i for i in range(1, n) if density[i] >= threshold > 0 and (not known or tree.in_article[i] or sums[i] >= threshold)}
+    return sorted(chosen | {best}, key=lambda i: (tree.first[i], -tree.last[i]))
+
+
 def main_text(page: str) -> str:
     tree = Tree(page)
     if not tree.chars[0]:
         return ""
-    density, sums = densities(tree)
-    n = len(tree.tags)
-    best = max(range(n), key=lambda i: (sums[i], density[i], -i))
-    threshold, at = density[best], best
-    root = best
-    while at >= 0:
-        threshold = min(threshold, density[at]) if at else threshold
-        if tree.tags[at] in ("article", "main"):
-            root = at
-        at = tree.parent[at]
-    # The subtree of the largest sum, and others that are as dense as the way to it; in page order, none inside another.
-    subtree = [i for i in range(n)]
-    largest = sums[:]
-    for i in range(n - 1, 0, -1):
-        up = tree.parent[i]
-        if largest[i] > largest[up]:
-            largest[up], subtree[up] = largest[i], subtree[i]
-    chosen = {root}
-    if tree.tags[root] not in ("article", "main"):
-        chosen |= {subtree[i] for i in range(1, n) if density[i] >= threshold > 0 and sums[subtree[i]] > 0}
     out, until = [], -1
-    for i in sorted(chosen, key=lambda i: (tree.first[i], -tree.last[i])):
+    for i in chosen_nodes(tree):
         if tree.last[i] > until:
             out.append(tree.text(i) if tree.first[i] >= until else "")
             until = max(until, tree.last[i])
