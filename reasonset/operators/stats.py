@@ -8,6 +8,8 @@ and everything after it works on a table whose size is the number of distinct co
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import saved_once
+
 ALL = "all"
 
 MEASURES = ["total_rows", "unique_sources", "unique_domains", "avg_difficulty", "min_difficulty", "max_difficulty"]
@@ -17,6 +19,11 @@ def preaggregate(df: DataFrame) -> DataFrame:
     return df.groupBy("source", "domain", "difficulty").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """The pre-aggregation, written: choices, distributions and options all come from it, and the table is read once."""
+    return saved_once(preaggregate(df), "counts")
+
+
 def _measures() -> list[Column]:
     known = F.col("difficulty").isNotNull()
     return [
@@ -46,10 +53,15 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
 
 def filter_options(df: DataFrame) -> DataFrame:
     """One row: the sorted distinct non-empty sources and domains, and the difficulty range."""
+    return options_of(preaggregate(df))
+
+
+def options_of(counts: DataFrame) -> DataFrame:
+    """:func:`filter_options` of a pre-aggregated table."""
     def names(column: str) -> Column:
         return F.array_sort(F.collect_set(F.when(F.col(column) != "", F.col(column))))
 
-    return preaggregate(df).agg(
+    return counts.agg(
         names("source").alias("sources"),
         names("domain").alias("domains"),
         F.min("difficulty").alias("difficulty_min"),
@@ -79,10 +91,13 @@ def _real(source: str = "_s", domain: str = "_d") -> Column:
     return ~clash(source, "source") & ~clash(domain, "domain")
 
 
-def stats_cube(df: DataFrame, options: DataFrame | None = None) -> DataFrame:
-    """The basic statistics of every (source, domain) choice; choices without rows included."""
-    base = preaggregate(df)
-    options = filter_options(df) if options is None else options
+def stats_cube(df: DataFrame, options: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """The basic statistics of every (source, domain) choice; choices without rows included.
+
+    ``counts`` is :func:`counted` of the table where that is at hand.
+    """
+    base = counted(df) if counts is None else counts
+    options = options_of(base) if options is None else options
     cube = (
         base.withColumns({"s": F.col("source"), "d": F.col("domain")})
         .cube("s", "d")
@@ -99,13 +114,13 @@ def stats_cube(df: DataFrame, options: DataFrame | None = None) -> DataFrame:
     return joined.fillna(0, ["total_rows", "unique_sources", "unique_domains"])
 
 
-def stats_cube_dist(df: DataFrame, options: DataFrame | None = None) -> DataFrame:
+def stats_cube_dist(df: DataFrame, options: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Long form of the distributions: (source, domain, dimension, key, n) for every choice.
 
     A missing difficulty has the key ``None``, a missing source or domain the key ``null``.
     """
-    base = preaggregate(df)
-    options = filter_options(df) if options is None else options
+    base = counted(df) if counts is None else counts
+    options = options_of(base) if options is None else options
     # Each pre-aggregated row counts in four choices and three dimensions.
     source_level = F.explode(F.array(F.lit(1), F.lit(0))).alias("_s")
     domain_level = F.explode(F.array(F.lit(1), F.lit(0))).alias("_d")
@@ -120,29 +135,30 @@ def stats_cube_dist(df: DataFrame, options: DataFrame | None = None) -> DataFram
         )
     ).alias("_k")
     spread = base.select("*", source_level).select("*", domain_level).filter(_real()).select("*", keys)
-    counts = spread.groupBy(
+    found = spread.groupBy(
         F.when(F.col("_s") == 1, ALL).otherwise(F.col("source")).alias("source"),
         F.when(F.col("_d") == 1, ALL).otherwise(F.col("domain")).alias("domain"),
         F.col("_k.dimension").alias("dimension"),
         F.col("_k.key").alias("key"),
     ).agg(F.sum("n").alias("n"))
-    return counts.join(all_pairs(options), ["source", "domain"], "left_semi")
+    return found.join(all_pairs(options), ["source", "domain"], "left_semi")
 
 
-def stats_cube_maps(df: DataFrame, options: DataFrame | None = None) -> DataFrame:
+def stats_cube_maps(df: DataFrame, options: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Full statistics records: the measures and the three distributions as maps.
 
     A map has one entry per distinct name or difficulty of its choice, not per row.
     """
-    options = filter_options(df) if options is None else options
-    long = stats_cube_dist(df, options)
+    counts = counted(df) if counts is None else counts
+    options = options_of(counts) if options is None else options
+    long = stats_cube_dist(df, options, counts)
 
     def entries(dimension: str) -> Column:
         entry = F.when(F.col("dimension") == dimension, F.struct("key", "n"))
         return F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(f"{dimension}_distribution")
 
     maps = long.groupBy("source", "domain").agg(entries("difficulty"), entries("source"), entries("domain"))
-    joined = stats_cube(df, options).join(maps, ["source", "domain"], "left")
+    joined = stats_cube(df, options, counts).join(maps, ["source", "domain"], "left")
     empty = F.create_map().cast("map<string,bigint>")
     for dimension in ("difficulty", "source", "domain"):
         column = f"{dimension}_distribution"

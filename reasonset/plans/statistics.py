@@ -13,6 +13,7 @@ def precompute(df: DataFrame, root: str, force: bool = False) -> DataFrame:
     saved = read_stats(spark, root)
     if saved is not None and not force:
         return saved
-    write_stats(stats.filter_options(df), root, "options")
-    write_stats(stats.stats_cube_maps(df, read_stats(spark, root, "options")), root)
+    counts = stats.counted(df)
+    write_stats(stats.options_of(counts), root, "options")
+    write_stats(stats.stats_cube_maps(df, read_stats(spark, root, "options"), counts), root)
     return read_stats(spark, root)

@@ -71,3 +71,16 @@ def test_empty_corpus(spark):
 
 def test_lookup_miss(spark):
     assert stats.lookup_stats(stats.stats_cube(corpus(spark)), "zzz", "all").count() == 0
+
+
+def test_all_statistics_come_from_one_scan(spark, monkeypatch):
+    """Measures, distributions, maps and options read the written counts; the table itself is counted once."""
+    df = spark.range(300).selectExpr("concat('s', id % 3) AS source", "concat('d', id % 2) AS domain", "id % 4 AS difficulty")
+    calls = []
+    saved = stats.saved_once
+    monkeypatch.setattr(stats, "saved_once", lambda table, name: calls.append(name) or saved(table, name))
+    for found in (stats.stats_cube(df), stats.stats_cube_dist(df), stats.stats_cube_maps(df)):
+        assert "Range (0, 300" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert calls == ["counts"] * 3
+    rows = {(r["source"], r["domain"]): r for r in stats.stats_cube_maps(df).collect()}
+    assert rows["all", "all"]["difficulty_distribution"] == {"0": 75, "1": 75, "2": 75, "3": 75} and len(rows) == 12
