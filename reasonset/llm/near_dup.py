@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,10 @@ THRESHOLD = 0.8
 BUCKETS = 1 << 16
 BLOCK, BLOCK_BYTES = 512, 8 << 20
 FILTER_WORDS = 1 << 17
+SALTS = 16
+
+#: The weighted set of the text in a column of one row: shingles ascending, and their weights.
+Vector = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -219,7 +223,7 @@ _ROUNDING = 1 - 1e-6
 def _candidates(members: list[dict], band: int, i: int, j: int, threshold: float) -> tuple[list[np.ndarray], np.ndarray]:
     """Of a block with itself (i = j) or with another: for each place the later places of other classes that share no
     earlier band and whose weights allow the threshold, and the classes of all members."""
-    bands = np.array([m["bands"] for m in members], np.int64).reshape(-1, BANDS)
+    bands = np.array([m["bands"] for m in members], np.int64).reshape(len(members), -1)
     weight = np.array([m["weight"] for m in members])
     block = np.array([m["block"] for m in members])
     names: dict[bytes, int] = {}
@@ -279,7 +283,7 @@ class Block:
         return others[common >= threshold * (self.totals[x] + self.totals[others] - common)]
 
 
-def _link_blocks(rarity, threshold: float):
+def _link_blocks(vector: Vector, threshold: float):
     """Links between classes inside blocks of members with their texts: no more than the classes need to be joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +300,7 @@ def _link_blocks(rarity, threshold: float):
                     if not len(others):
                         continue
                     if sets is None:
-                        sets = Block([weighted_shingles(word_hashes(pa.array([m["text"]]))[0], rarity.value) for m in members])
+                        sets = Block([vector(pa.array([m["text"]])) for m in members])
                     for y in sets.alike(x, others, threshold).tolist():
                         if root[y] != root[x]:
                             root[root == root[y]] = root[x]
@@ -320,15 +324,15 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _similar(rarity, threshold: float):
+def _similar(vector: Vector, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: OrderedDict[bytes, tuple] = OrderedDict()
 
-        def vector(tid: bytes, column: pa.Array, i: int):
+        def known(tid: bytes, column: pa.Array, i: int):
             if tid in kept:
                 kept.move_to_end(tid)
             else:
-                kept[tid] = weighted_shingles(word_hashes(column.slice(i, 1))[0], rarity.value)
+                kept[tid] = vector(column.slice(i, 1))
                 if len(kept) > 64:
                     kept.popitem(last=False)
             return kept[tid]
@@ -336,17 +340,17 @@ def _similar(rarity, threshold: float):
         for batch in batches:
             close = []
             for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                close.append(alike(vector(a, batch.column(2), i), vector(b, batch.column(3), i), threshold))
+                close.append(alike(known(a, batch.column(2), i), known(b, batch.column(3), i), threshold))
             yield batch.select([0, 1]).filter(pa.array(close, pa.bool_()))
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, rarity, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose exact weighted Jaccard similarity reaches the threshold."""
+def _verified(pairs: DataFrame, texts: DataFrame, vector: Vector, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose exact similarity reaches the threshold."""
     of = lambda side: texts.select(F.col("tid").alias(side), F.col("text").alias(f"text_{side}"))
     joined = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(_similar(rarity, threshold), "a binary, b binary")
+    return joined.mapInArrow(_similar(vector, threshold), "a binary, b binary")
 
 
 def _slot(*columns):
@@ -363,48 +367,46 @@ def _needed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
 
     The bitmap only spares shuffling; whatever it lets through is joined exactly.
     """
-    bits = np.zeros(FILTER_WORDS, np.int64)
-    for w, b in _bitmap(wanted.select(_slot("tid", "doc_id").alias("s"))).toPandas().itertuples(index=False):
-        bits[int(w)] = b
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bits.tobytes())
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            at = batch.column(0).to_numpy()
-            some = (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            yield batch.select([1, 2, 3]).filter(pa.array(some))
-
-    rows = _texts(docs, id_col, text_col).withColumn("tid", F.unhex(F.md5("text"))).select(_slot("tid", "doc_id").alias("s"), "tid", "doc_id", "text")
-    sifted = rows.mapInArrow(sift, "tid binary, doc_id long, text string")
+    bitmap = _bitmap(wanted.select(_slot("tid", "doc_id").alias("s")))
+    rows = _texts(docs, id_col, text_col).withColumn("tid", F.unhex(F.md5("text"))).withColumn("s", _slot("tid", "doc_id"))
+    sifted = rows.join(F.broadcast(bitmap), F.floor(F.col("s") / 64) == F.col("w")).where(F.getbit("bits", F.pmod("s", F.lit(64)).cast("int")) == 1)
+    sifted = sifted.select("tid", "doc_id", "text")
     return sifted.join(wanted, sifted.tid.eqNullSafe(wanted.tid) & sifted.doc_id.eqNullSafe(wanted.doc_id), "left_semi").dropDuplicates(["tid"]).select("tid", "text")
 
 
-def _linked(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The signatures of all rows, the smallest id of each text, and (node, component) of the texts with a near duplicate."""
-    spark = docs.sparkSession
-    rarity = spark.sparkContext.broadcast(word_rarity(docs, text_col))
-    signed = saved_once(signatures(docs, rarity, id_col, text_col), "signatures")
+def _salted(keys: DataFrame) -> DataFrame:
+    """Every row once per salt: the small side of a join with the members of buckets, of which a hot one is read by several tasks."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def classes_of(docs: DataFrame, signed: DataFrame, vector: Vector, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """From signatures (``doc_id``, ``tid``, ``weight``, ``bands``, ``size``): the smallest id of each text, and (node, component)
+    of the texts with a near duplicate, whose similarity is that of ``vector``."""
     # Identical texts become one, named by its smallest document id.
     firsts = signed.where("tid IS NOT NULL").groupBy("tid").agg(F.min("doc_id").alias("doc_id"))
     unique = signed.where("tid IS NOT NULL").dropDuplicates(["tid", "doc_id"]).join(firsts.withColumnRenamed("doc_id", "first"), "tid").where(F.col("doc_id").eqNullSafe(F.col("first")))
-    members = unique.select("tid", "doc_id", "weight", "bands", "size", F.posexplode("bands").alias("band", "key"))
-    shared_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
-    members = saved_once(members.join(shared_keys, "key"), "buckets")
-    texts = saved_once(_needed_texts(docs, members.select("tid", "doc_id").distinct(), id_col, text_col), "texts")
-
-    leaders = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("tid", "key").alias("o"), F.col("tid").alias("a"), F.col("weight").alias("weight_a"))).alias("x")).select("key", "x.a", "x.weight_a")
+    unique = saved_once(unique.select("tid", "weight", "bands", "size"), "unique")
+    # Only fixed-width columns are counted per bucket, and only members of buckets with company go on.
+    placed = unique.select("tid", "weight", "size", F.posexplode("bands").alias("band", "key")).withColumn("o", F.xxhash64("tid", "key"))
+    shared_keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("o").alias("least")).where("n > 1")
+    salt = F.pmod(F.xxhash64("tid", F.lit(2)), F.lit(SALTS)).cast("int")
+    members = saved_once(placed.drop("size").withColumn("salt", salt).join(_salted(shared_keys), ["key", "salt"]), "buckets")
+    wanted = firsts.join(members.select("tid").distinct(), "tid", "left_semi")
+    texts = saved_once(_needed_texts(docs, wanted, id_col, text_col), "texts")
+
+    leaders = members.where("o = least").groupBy("key").agg(F.min(F.struct(F.col("tid").alias("a"), F.col("weight").alias("weight_a"))).alias("x")).select("key", "x.a", "x.weight_a")
     able = F.least("weight", "weight_a") >= threshold * _ROUNDING * F.greatest("weight", "weight_a")
-    pairs = _ordered(members.join(leaders, "key").where((F.col("tid") != F.col("a")) & able).select("a", F.col("tid").alias("b")))
-    links = saved_once(_verified(pairs, texts, rarity, threshold), "links")
+    pairs = _ordered(members.join(_salted(leaders), ["key", "salt"]).where((F.col("tid") != F.col("a")) & able).select("a", F.col("tid").alias("b")))
+    links = saved_once(_verified(pairs, texts, vector, threshold), "links")
     classes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # Buckets in which several classes meet, block against block.
-    placed = members.join(classes.withColumnRenamed("node", "tid"), "tid", "left").select("key", "band", "n", "bytes", "tid", "weight", "bands", F.coalesce("component", "tid").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    named = members.join(classes.withColumnRenamed("node", "tid"), "tid", "left").withColumn("component", F.coalesce("component", "tid"))
+    named = saved_once(named.select("key", "salt", "band", "n", "bytes", "tid", "weight", "component"), "named")
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
-    dealt = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("tid", F.lit(1)), blocks).cast("int"))
+    dealt = named.join(_salted(mixed), ["key", "salt"]).join(unique.select("tid", "bands"), "tid")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("tid", F.lit(1)), blocks).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     at = ["key", "band", "i", "j"]
     member = ["block", "tid", "component", "weight", "bands"]
@@ -412,14 +414,17 @@ def _linked(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tu
     met = dealt.groupBy(*at).agg(F.collect_list(F.struct(*member)).alias("members"))
     comparable = met.mapInArrow(_comparable(threshold), f"{_PLACE}, {_MEMBER}")
     met = comparable.join(texts, "tid").groupBy(*at).agg(F.collect_list(F.struct(*member, "text")).alias("members"))
-    more = saved_once(met.mapInArrow(_link_blocks(rarity, threshold), "a binary, b binary").distinct(), "links")
+    more = saved_once(met.mapInArrow(_link_blocks(vector, threshold), "a binary, b binary").distinct(), "links")
     every = links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return signed, firsts, components(every) if more.limit(1).count() else classes
+    return firsts, components(every) if more.limit(1).count() else classes
 
 
-def linked_texts(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(tid, component): the class of each text, by its digest, that has a near duplicate with another text."""
-    return _linked(docs, threshold, id_col, text_col)[2].select(F.col("node").alias("tid"), "component")
+def _linked(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signatures of all rows, the smallest id of each text, and (node, component) of the texts with a near duplicate."""
+    rarity = docs.sparkSession.sparkContext.broadcast(word_rarity(docs, text_col))
+    signed = saved_once(signatures(docs, rarity, id_col, text_col), "signatures")
+    vector = lambda column: weighted_shingles(word_hashes(column)[0], rarity.value)
+    return signed, *classes_of(docs, signed, vector, threshold, id_col, text_col)
 
 
 def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:

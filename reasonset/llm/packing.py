@@ -5,8 +5,8 @@ duplicate cluster. A bin carries a bitmap of its sources and one of its clusters
 in them. A document goes into the tightest bin that has room, and on to the next larger as long as the bitmaps clash;
 without one it opens a bin. Longer documents come first.
 
-A duplicate cluster is a class of near duplicates where ``clusters`` gives the class of the text, as in the registered query,
-and otherwise the exact text.
+A duplicate cluster is a class of near duplicates where ``clusters`` gives the class of the text (in the registered query classes of
+plain Jaccard similarity, see ``text_classes``), and otherwise the exact text.
 
 Documents are dealt by a hash to groups of about ``group_rows``, which are packed independently: a group is
 what one task holds at a time, of bounded size whatever the data or its skew. Only ids, lengths, sources and
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .near_dup import linked_texts
+from .text_classes import linked_texts
 
 CAPACITY, GROUP_ROWS = 32_768, 4096
 
