@@ -293,3 +293,28 @@ def test_suffixes_survive_packing():
     found = {tuple(levels[d][int(places[d][i])].as_py()[:-1] for d in range(3)): int(n) for i, n in enumerate(back)}
     assert found == {(b"the", b"cat", b""): 1, (b"the", b"cat", b"sat"): 2, (b"cat", b"", b""): 1, (b"cat", b"sat", b""): 1, (b"cat", b"sat", b"on\xc3\xa9"): 1, (b"sat", b"", b""): 1, (b"sat", b"on\xc3\xa9", b"it"): 1, (b"on\xc3\xa9", b"it", b""): 1, (b"it", b"", b""): 1}
     assert counts.sum() == len(words)
+
+
+def test_one_permutation_signatures():
+    """Each bin holds its smallest hash or borrows one; texts of one batch do not touch each other."""
+    from reasonset.llm import near_dup, text_classes
+
+    texts = ["a b c d e f g", "", "one two", "a b c d e f g", None, "w " * 3000, " \n"]
+    column = pa.array([t or "" for t in texts])
+    hashes, text = text_classes.shingle_hashes(*near_dup.word_hashes(column))
+    values = text_classes.bins(hashes, text, len(texts))
+    keys = text_classes.bands(values)
+    assert text_classes._distinct(hashes, text, len(texts)).tolist() == [3, 0, 1, 3, 0, 1, 0]
+    for i, t in enumerate(texts):
+        own, weights = text_classes.plain_set(pa.array([t or ""]))
+        assert sorted(set(hashes[text == i].tolist())) == own.tolist() and set(weights.tolist()) <= {1.0}
+        least = {}
+        for h in own.tolist():
+            at = (h >> 32) * text_classes.BINS >> 32
+            least[at] = min(h, least.get(at, h))
+        for bin_ in range(text_classes.BINS):
+            order = text_classes._ORDER[bin_].tolist()
+            assert order[0] == bin_ and sorted(order) == list(range(text_classes.BINS))
+            found = next((least[b] for b in order if b in least), int(text_classes._EMPTY))
+            assert int(values[i, bin_]) == found
+    assert np.array_equal(keys[0], keys[3]) and not (keys[0] == keys[2]).any()
