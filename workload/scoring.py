@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from reasonset.operators import position, rewards, scoring
+from reasonset.plans import scoring as plan
 from reasonset.session import saved_once
 
 from . import views
@@ -45,6 +46,39 @@ def accuracy(spark, sf_dir):
     return found.withColumn("accuracy", F.round("accuracy", 9))
 
 
+# Every third customer is a multiple-choice problem, the others have a number for an answer. An event is a sample whose
+# text boxes its answer, names it in a last line, or gives none.
+_EVAL = "CASE WHEN {0} % 3 = 0 THEN 'choice' ELSE 'math' END"
+
+
+@query(
+    f"""WITH {SAMPLES}, {_PROBLEMS}, solved AS (SELECT run, step, {_EVAL.format("problem")} AS eval, problem,
+  bool_or(problem IN (SELECT problem FROM problems) AND event_id % 5 <> 0 AND CASE WHEN problem % 3 = 0
+   THEN event_id % 2 = 0 AND event_id % 4 = problem % 4 ELSE event_id % 7 = problem % 7 END) AS ok FROM samples GROUP BY ALL),
+ sizes AS (SELECT {_EVAL.format("problem")} AS eval, count(*) AS n FROM problems GROUP BY 1)
+ SELECT run, step, concat(eval, '_pass@4') AS metric, round(count(*) FILTER (ok) / CAST(any_value(n) AS DOUBLE), 9) AS value
+ FROM solved JOIN sizes USING (eval) GROUP BY run, step, eval"""
+)
+def score_samples(spark, sf_dir):
+    which = F.expr(_EVAL.format("problem")).alias("eval")
+    letter = lambda n: F.element_at(F.array(*[F.lit(c) for c in "ABCD"]), (n % 4 + 1).cast("int"))
+    choice, number = F.col("problem") % 3 == 0, lambda n: (n % 7).cast("string")
+    problems = _problems(spark, sf_dir).select(
+        which,
+        "problem",
+        F.when(choice, letter(F.col("problem"))).otherwise(number(F.col("problem"))).alias("target"),
+        F.when(choice, F.lit(plan.LETTER)).otherwise(F.lit(plan.ANSWER)).alias("kind"),
+    )
+    said = F.when(choice, letter(F.col("event_id"))).otherwise(number(F.col("event_id")))
+    content = (
+        F.when(F.col("event_id") % 5 == 0, F.lit("no idea"))
+        .when(F.col("event_id") % 2 == 0, F.concat(F.lit(r"so it is \boxed{"), said, F.lit("}.")))
+        .otherwise(F.concat(F.lit("so it is\nANSWER: "), said))
+    )
+    samples = views.samples(spark, sf_dir).select("run", "step", which, "problem", content.alias("content"))
+    return plan.score_samples(samples, problems, k=4).withColumn("value", F.round("value", 9))
+
+
 # Tests: an order priority is a problem with one or three tests; an order is a sample, its lines
 # are test results. Samples are numbered anew in each problem, as evaluations number them.
 _N_TESTS = "length(o_orderpriority) % 3 + 1"
