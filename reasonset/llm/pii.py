@@ -88,22 +88,25 @@ def base_spans(text: str) -> list[Span]:
 
 _INTERESTING = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"\s")
+_WORD = re.compile(r"\S+")
 _EDGE = "\"'.,;:!?()[]{}<>*#$&%|"
 
 
-@lru_cache(maxsize=100_000)
 def shape(word: str) -> str:
     """Letters, digits and signs as classes; runs of letters as one, of digits by their number up to 4, then 5-9, 10-13, 14-19 and more.
 
-    Words without digit or at-sign have one of six shapes.
+    Words without digit or at-sign have one of six shapes. Every word is read whole; only those of usual length are remembered.
     """
+    return _usual_shape(word) if len(word) <= 64 else _shape(word)
+
+
+def _shape(word: str) -> str:
     if not _INTERESTING.search(word):
         bare = word.strip(_EDGE)
         if not bare:
             return "sign"
         kind = "upper" if bare.isupper() and len(bare) > 1 else "capital" if bare[0].isupper() else "lower"
         return kind if bare == word else f"{kind}+"
-    word = word[:64]
     out = []
     for run in re.findall(r"[0-9]+|[^\W\d_]+|.", word, re.DOTALL):
         n = len(run)
@@ -111,6 +114,8 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
+_usual_shape = lru_cache(maxsize=100_000)(_shape)
+
 BORDER = "border"
 
 
@@ -177,10 +182,17 @@ def runs(text: str) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
 
 
 def _neighbour(text: str, at: int, step: int) -> str:
-    """The shape of the word before or after a place; long white space and long words are not gone through whole."""
-    near = text[max(0, at - 80) : at] if step < 0 else text[at : at + 80]
-    words = near.split()
-    return shape(words[-1 if step < 0 else 0]) if words else BORDER
+    """The shape of the word before or after a place; together the neighbours of all runs go through a text twice at most."""
+    if step > 0:
+        found = _WORD.search(text, at)
+        return shape(found[0]) if found else BORDER
+    end = at
+    while end and text[end - 1].isspace():
+        end -= 1
+    start = end
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return shape(text[start:end]) if end else BORDER
 
 
 def _sound(kind: int, found: str) -> bool:

@@ -242,3 +242,15 @@ def test_bulk_reads_use_the_rank_directory():
     codes.ranks[0][5] -= 1
     wrong = np.flatnonzero(codes.at(np.arange(len(ids))) != ids)
     assert len(wrong) and set(wrong // token_store.RANK_BITS) == {5}
+
+
+def test_shapes_of_long_words_and_distant_neighbours():
+    """Long words and neighbours beyond long white space count whole."""
+    from reasonset.llm import pii
+
+    assert pii.shape("a" * 100 + "1") == "xd" and pii.shape("a" * 100 + "@b") == "x@x"
+    gap = " " * 500
+    ((places, shapes),) = pii.runs(f"Before{gap}12{gap}{'z' * 200}.")
+    assert [len(places), *shapes] == [1, "capital", "dd", "lower+"]
+    ((_, shapes),) = pii.runs(f"{gap}12{gap}")
+    assert shapes == [pii.BORDER, "dd", pii.BORDER]
