@@ -1,6 +1,6 @@
 """Corpus jobs over nested conversations: browsing, token budgets and subsets."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,9 +9,12 @@ from ..functions import fixed, messages
 from ..functions import text as texts
 from ..session import saved_once
 from . import turns as turn_ops
-from .position import FEW, first_n, first_rows, row_tie
+from .position import FEW, first_n, first_rows, row_tie, with_key_position
 from .predicates import budget, corpus_filter, token_budget
 
+# Binary digits of the largest number of budgets that a source may have.
+DIGITS = 31
+
 
 def with_tokens(df: DataFrame) -> DataFrame:
     answer = messages.first_text(F.col("messages"), fixed.ASSISTANT_ROLES)
@@ -127,35 +130,72 @@ def subset_sweep(df: DataFrame, requests: Sequence[dict], key: str = "id") -> Da
     return first_n(spread, F.col("limit"), key, by=["request", "limit"], derived=True)
 
 
+def _even_blocks(block: Callable[[int], Column], upto: Column) -> Column:
+    """A row for every height of which the block number is even: (``_height``, ``_block``), blocks being of ``2 ** height`` places.
+
+    ``upto`` is the largest number of places; heights beyond it have no block.
+    """
+    blocks = [
+        F.when((F.shiftright(upto, h) > 0) & (block(h) % 2 == 0), F.struct(F.lit(h).alias("_height"), block(h).alias("_block")))
+        for h in range(DIGITS)
+    ]
+    return F.inline(F.array_compact(F.array(*blocks)))
+
+
 def subset_sweep_of(df: DataFrame, requests: DataFrame, key: str = "id") -> DataFrame:
     """One subset per row of a table of requests (``request``, ``wanted_source``, ``max_tokens``, ``limit``).
 
-    The budgets of a source cut token counts into intervals; an interval of rows fits a run of the source's requests. Of
-    every interval only as many first rows are kept as the largest limit of its run, so that what meets the requests is bounded by them and not
-    by the table. No request is part of the plan, and no row meets all requests. ``all`` stands for every source.
+    The budgets of a source cut token counts into intervals, numbered upwards, and a budget takes all intervals up to its own. These are
+    one block of 1, 2, 4, ... intervals for every binary digit of their number. Of a block only as many first rows are kept as the largest limit that
+    uses it, and each distinct budget of a source merges the heads of its blocks once, into a list of as many first rows as its largest limit. A
+    request takes the head of its budget's list. So no row meets requests that do not take it, and no request is part of the plan. ``all``
+    stands for every source.
     """
     asked = saved_once(requests.where("`limit` > 0").select("request", "wanted_source", "max_tokens", "limit"), "requests")
-    # Budgets per source, ascending, each with the largest limit of those that are not below it.
-    levels = asked.groupBy("wanted_source", "max_tokens").agg(F.max("limit").alias("_most"))
+    # Budgets per source, ascending, each with its largest limit and with the largest limit of those that are not below it.
+    levels = asked.groupBy("wanted_source", "max_tokens").agg(F.max("limit").alias("_own"))
     upward = Window.partitionBy("wanted_source").orderBy(F.desc("max_tokens"))
-    levels = levels.withColumn("_most", F.max("_most").over(upward.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    by_source = levels.groupBy("wanted_source").agg(F.array_sort(F.collect_list(F.struct("max_tokens", "_most"))).alias("_levels"))
+    levels = levels.withColumn("_most", F.max("_own").over(upward.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    by_source = levels.groupBy("wanted_source").agg(F.array_sort(F.collect_list(F.struct("max_tokens", "_most", "_own"))).alias("_levels"))
     by_source = saved_once(by_source.withColumnRenamed("wanted_source", "_ask"), "levels")
     spread = df.select("source", key, "_total_tokens").withColumn("_ask", F.explode(F.array_distinct(F.array(F.col("source"), F.lit("all")))))
     # The first budget that is not below the tokens, by halving.
-    halves = F.array(*[F.lit(1 << b) for b in reversed(range(20))])
+    halves = F.array(*[F.lit(1 << b) for b in reversed(range(DIGITS))])
     too_small = F.aggregate(
         halves, F.lit(0), lambda n, h: F.when(F.try_element_at(F.col("_levels"), n + h)["max_tokens"] < F.col("_total_tokens"), n + h).otherwise(n)
     )
-    level = F.try_element_at(F.col("_levels"), too_small + 1)
-    placed = spread.join(by_source, "_ask").withColumn("_level", level).where("_level IS NOT NULL")
-    narrow = placed.select(key, "_ask", F.col("_level.max_tokens").alias("_interval"), F.col("_level._most").alias("_most"))
-    some = first_n(narrow, F.col("_most"), key, by=["_ask", "_interval", "_most"], derived=True)
-    runs = asked.withColumnRenamed("wanted_source", "_asked")
-    matched = some.join(runs, (F.col("_ask") == F.col("_asked")) & (F.col("_interval") <= F.col("max_tokens")))
-    wanted = matched.select(key, "request", F.col("_asked").alias("wanted_source"), "max_tokens", "limit")
-    chosen = first_n(wanted, F.col("limit"), key, by=["request", "limit"], derived=True)
-    return df.join(chosen, key)
+    placed = spread.join(by_source, "_ask").withColumn("_place", too_small).withColumn("_count", F.size("_levels")).where("_place < _count")
+    most = F.element_at(F.col("_levels"), F.col("_place") + 1)["_most"]
+    narrow = saved_once(placed.select(key, "_ask", "_place", "_count", most.alias("_most")), "places")
+    some = saved_once(first_n(narrow, F.col("_most"), key, by=["_ask", "_place", "_most"]).drop("_most"), "some")
+
+    place = F.col("_place")
+    budgets = by_source.select("_ask", F.posexplode("_levels").alias("_place", "_level")).select(
+        "_ask", F.col("_level.max_tokens").alias("_budget"), F.col("_level._own").alias("_own"), _even_blocks(lambda h: F.shiftright(place + 1, h) - 1, place + 1)
+    )
+    blocks = saved_once(budgets.groupBy("_ask", "_height", "_block").agg(F.max("_own").alias("_largest")), "blocks")
+    inside = some.select(key, "_ask", _even_blocks(lambda h: F.shiftright(place, h), F.col("_count"))).join(blocks, ["_ask", "_height", "_block"])
+    heads = with_key_position(saved_once(inside, "inside"), key, ["_ask", "_height", "_block"], "_at").where("_at < _largest")
+    # Merge joins: as files these tables are a small part of their size in memory, too small to decide on a broadcast.
+    merged = budgets.join(heads.hint("merge"), ["_ask", "_height", "_block"]).where("_at < _own").select("_ask", "_budget", "_own", key)
+    lists = with_key_position(saved_once(merged, "merged"), key, ["_ask", "_budget"], "_at").where("_at < _own")
+    lists = saved_once(lists.select("_ask", "_budget", key, "_at"), "lists")
+
+    def taken(some_asked: DataFrame) -> DataFrame:
+        same = (F.col("_ask") == F.col("wanted_source")) & (F.col("_budget") == F.col("max_tokens")) & (F.col("_at") < F.col("limit"))
+        return lists.join(some_asked.hint("merge"), same).select(key, "request", "wanted_source", "max_tokens", "limit")
+
+    # Rows of the table that share a request's number and limit are one request: their union is cut.
+    shared = asked.groupBy("request", "limit").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    shared = saved_once(shared.select(F.col("request").alias("_o_request"), F.col("limit").alias("_o_limit")), "shared")
+    is_shared = F.col("request").eqNullSafe(F.col("_o_request")) & (F.col("limit") == F.col("_o_limit"))
+    chosen = taken(asked.join(shared, is_shared, "left_anti"))
+    if not shared.isEmpty():
+        union = saved_once(taken(asked.join(shared, is_shared, "left_semi")), "union")
+        chosen = chosen.unionByName(first_n(union, F.col("limit"), key, by=["request", "limit"]))
+    # Written, so that the true size decides whether they are broadcast: the chosen rows then need no shuffle.
+    rows = saved_once(df.join(lists.select(key).distinct(), key, "left_semi"), "rows")
+    return rows.join(chosen, key)
 
 
 def subset_stats(df: DataFrame) -> DataFrame:

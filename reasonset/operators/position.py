@@ -147,10 +147,12 @@ def with_position(
     buckets: Sequence[Column],
     by: Sequence[str] = (),
     name: str = "position",
+    tied: bool = False,
 ) -> DataFrame:
     """Adds every row's 0-based position in ``order``, per group when ``by`` is given.
 
-    ``buckets`` must follow the order: sorting by them and then by ``order`` must give the order.
+    ``buckets`` must follow the order: sorting by them and then by ``order`` must give the order. With ``tied``, rows that are
+    equal in the order share the position of the first of them.
     """
     by = list(by)
     names = [f"_bucket{i}" for i in range(len(buckets))]
@@ -158,7 +160,8 @@ def with_position(
     offsets = _bucket_offsets(keyed, by, names).drop("_rows", "_total")
     # The finest bucket leads the sort, where it tells most rows apart at the first comparison.
     inside = Window.partitionBy(*reversed(names), *by).orderBy(*order)
-    ranked = keyed.withColumn("_rank", F.row_number().over(inside))
+    number = F.rank() if tied else F.row_number()
+    ranked = keyed.withColumn("_rank", number.over(inside))
     keys = [*by, *names]
     joined = ranked.join(offsets, _same(keys, [f"_o_{k}" for k in keys]))
     return joined.withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop(
@@ -318,6 +321,19 @@ def first_n(
     return joined.filter(F.col(key) <= F.col("_cutoff")).drop("_cutoff", *[f"_o_{c}" for c in by])
 
 
+def with_key_position(df: DataFrame, key: str, by: Sequence[str], name: str = "position") -> DataFrame:
+    """Adds how many rows of the row's group have a smaller key; the key is of a type that :func:`first_n` takes.
+
+    The rows are read three times: they should be those of a written table.
+    """
+    kind = df.schema[key].dataType.typeName()
+    if kind not in (*NUMBERS, "binary"):
+        keyed = df.withColumn("_key", key_bytes(df.schema, [key]))
+        return with_key_position(keyed, "_key", by, name).drop("_key")
+    bucket = sampled_bucket(df, key) if kind == "binary" else range_bucket(df, key)
+    return with_position(df, [F.col(key)], [bucket], by, name, tied=True)
+
+
 def key_text(df: DataFrame, key: str | Sequence[str]) -> Column:
     """What a row's hash is made of: its key column, or several as the text of their bytes."""
     keys = _key_list(key)

@@ -141,3 +141,38 @@ def test_sweep_of_many_requests(spark):
     wanted = {(r, d[0]) for r, s, t, n in asked for d in [d for d in docs if d[2] <= t and s in ("all", d[1])][:n]}
     assert {(r["request"], r["id"]) for r in found.collect()} == wanted
     assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+
+
+def test_sweep_makes_no_more_rows_than_its_requests_take(spark, monkeypatch):
+    """Every request has a budget of its own: written are a few rows for each row that a request takes, not the rows of all intervals below it."""
+    rng = random.Random(6)
+    docs = [(i, "a", rng.randrange(200)) for i in range(2000)]
+    asked = [(r, rng.choice(["a", "all"]), r, 4) for r in range(200)]
+    written, save = [], position.saved_once
+    for module in (corpus, position):
+        monkeypatch.setattr(module, "saved_once", lambda df, name: (out := save(df, name), written.append(out.count()))[0])
+    found = corpus.subset_sweep_of(
+        spark.createDataFrame(docs, "id long, source string, _total_tokens long"),
+        spark.createDataFrame(asked, "request long, wanted_source string, max_tokens long, limit long"),
+    )
+    got = sorted((r["request"], r["id"]) for r in found.collect())
+    assert got == sorted((r, d[0]) for r, _, t, n in asked for d in [d for d in docs if d[2] <= t][:n])
+    assert max(written) <= max(2 * len(docs), 8 * len(got))
+
+
+def test_sweep_of_repeated_keys_and_requests(spark):
+    """Equal keys are taken together; requests of the same number and limit are cut as one; keys may be texts."""
+    rng = random.Random(7)
+    docs = [(f"k{rng.randrange(40):02d}", rng.choice(["a", "b"]), rng.randrange(30)) for _ in range(120)]
+    asked = [(rng.randrange(25), rng.choice(["a", "b", "all"]), rng.randrange(40), rng.choice([1, 3, 8])) for _ in range(60)]
+    found = corpus.subset_sweep_of(
+        spark.createDataFrame(docs, "id string, source string, _total_tokens long"),
+        spark.createDataFrame(asked, "request long, wanted_source string, max_tokens long, limit long"),
+    )
+    wanted = []
+    for r, n in {(r, n) for r, _, _, n in asked}:
+        union = [(d[0], s, t) for q, s, t, m in asked if (q, m) == (r, n) for d in docs if d[2] <= t and s in ("all", d[1])]
+        cut = sorted(k for k, _, _ in union)[:n][-1:]
+        wanted += [(r, s, t, n, k, d[1]) for k, s, t in union if cut and k <= cut[0] for d in docs if d[0] == k]
+    got = [(r["request"], r["wanted_source"], r["max_tokens"], r["limit"], r["id"], r["source"]) for r in found.collect()]
+    assert sorted(got) == sorted(wanted)
