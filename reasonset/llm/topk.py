@@ -2,8 +2,9 @@
 
 Vectors are packed into shards in the scan, the stated queries into blocks of about ``BLOCK`` rows. Every block
 meets every shard once, as one matrix product; of a tile only the k best per query are kept, merged over the tiles
-of a task, and the lists of tasks are merged as a tree. Blocks and shards are dealt by block and a salt, so that neither
-side is ever whole anywhere, and no pair of vectors becomes a row.
+of a task, and the lists of tasks are merged as a tree. Blocks are dealt into groups and shards over salts; a group meets
+the shards of a salt in one place (see ``grid``). Both sides are shuffled to it, so that neither is ever whole anywhere,
+the driver included, and no pair of vectors becomes a row.
 
 Components are floor(256 x) as double; products are exact: in floating point while no sum can pass 2**53,
 else in Python integers.
@@ -29,7 +30,7 @@ from reasonset.session import saved_once
 
 from .common import table
 
-BLOCK, SHARD, FANOUT = 1024, 2048, 8
+BLOCK, SHARD, FANOUT, GROUP = 1024, 2048, 8, 8
 _NONE = np.iinfo(np.int64).min
 _TOP = np.iinfo(np.int64).max
 
@@ -165,25 +166,38 @@ _TOPS = pa.schema(
 )
 
 
+def grid(tasks: int, queries: int, vectors: int) -> tuple[int, int]:
+    """Into how many groups the blocks and over how many salts the shards are dealt.
+
+    Every query is copied once per salt and every vector once per group; with a place for each task these copies are fewest at this
+    number of salts. A group has ``GROUP`` blocks at most, which a task holds at a time.
+    """
+    blocks = max(1, math.ceil(queries / BLOCK))
+    salts = max(1, min(4 * tasks, round(math.sqrt(tasks * vectors / max(1, queries)))))
+    return min(blocks, max(math.ceil(tasks / salts), math.ceil(blocks / GROUP))), salts
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` from 1, ``vec_id``, ``score``: the k best candidates of every query row."""
     spark = vectors.sparkSession
     only = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     asked = only(queries).dropDuplicates(["id", "v"])
-    n_blocks = max(1, math.ceil(asked.count() / BLOCK))
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks, n_queries = int(spark.conf.get("spark.sql.shuffle.partitions")), asked.count()
+    n_blocks = max(1, math.ceil(n_queries / BLOCK))
+    groups, salts = grid(tasks, n_queries, vectors.count())
     blocks = (
         asked.select(F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)).cast("int").alias("block"), "id", F.xxhash64("v").alias("qkey"), "v")
         .groupBy("block")
         .applyInArrow(_pack_block, "block int, dim int, qkeys binary, ids binary, kind string, data binary")
-        .select("block", "dim", "qkeys", *[F.col(c).alias(f"q_{c}") for c in ("ids", "kind", "data")])
+        .select(F.pmod("block", F.lit(groups)).alias("grp"), "block", "dim", "qkeys", *[F.col(c).alias(f"q_{c}") for c in ("ids", "kind", "data")])
     )
-    blocks = saved_once(blocks, "queries").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Spark takes the copied blocks for as small as they are once; without the hint the driver would gather all copies to broadcast them.
+    blocks = saved_once(blocks, "queries").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     shards = only(vectors).mapInArrow(_pack_shards, _SHARDS)
-    shards = shards.withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    tiles = shards.join(blocks, ["block", "salt", "dim"]).select("block", "dim", "qkeys", "q_ids", "q_kind", "q_data", "ids", "kind", "data")
+    shards = shards.withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(salts)).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    tiles = shards.join(blocks, ["grp", "salt", "dim"]).select("block", "dim", "qkeys", "q_ids", "q_kind", "q_data", "ids", "kind", "data")
     tops = tiles.mapInArrow(_search(k), "query_id long, qkey long, node int, top array<struct<less:bigint,id:bigint>>")
-    reach = salts * FANOUT
+    reach = tasks * FANOUT
     while reach > 1:
         tops = tops.groupBy("query_id", "qkey", F.floor(F.col("node") / FANOUT).cast("int").alias("node")).agg(F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
         reach = math.ceil(reach / FANOUT)

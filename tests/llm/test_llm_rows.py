@@ -235,6 +235,24 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0), 5).collect() == []
 
 
+def test_top_k_of_many_blocks(spark, monkeypatch):
+    """Blocks meet shards in groups, and no copies of blocks go through the driver."""
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    rng = np.random.default_rng(2)
+    x = rng.integers(-3, 4, (400, 4))
+    df = spark.createDataFrame([(i, (v / 256).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    found = topk.top_k(df, df.where("vec_id % 2 = 0"), 3)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    scores = x @ x.T
+    wanted = [(q, r, i, -s) for q in range(0, 400, 2) for r, (s, i) in enumerate(sorted((-int(scores[q, i]), i) for i in range(400) if i != q)[:3], 1)]
+    assert sorted(map(tuple, found.collect())) == wanted
+    for tasks, queries, vectors in [(8, 200, 400), (24, 0, 0), (600, 307_000, 15_000_000), (12, 5, 10**9), (1, 10**6, 10**6)]:
+        groups, salts = topk.grid(tasks, queries, vectors)
+        blocks = max(1, -(-queries // topk.BLOCK))
+        assert 1 <= salts <= 4 * tasks and 1 <= groups <= blocks <= groups * topk.GROUP
+        assert groups * salts >= min(tasks, blocks)
+
+
 # Pages
 
 
