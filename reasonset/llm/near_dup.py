@@ -375,8 +375,12 @@ def _needed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
 
 
 def _salted(keys: DataFrame) -> DataFrame:
-    """Every row once per salt: the small side of a join with the members of buckets, of which a hot one is read by several tasks."""
-    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Every row once per salt: the small side of a join with the members of buckets, of which a hot one is read by several tasks.
+
+    Spark takes the copies, and the members, for as small as their rows before they were multiplied; the hint keeps either from being
+    gathered by the driver to be broadcast.
+    """
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
 
 def classes_of(docs: DataFrame, signed: DataFrame, vector: Vector, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
